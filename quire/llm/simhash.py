@@ -113,12 +113,16 @@ def _lookups(index: Index, k: int, radius: int, both: bool) -> Column:
     return F.concat(F.array(own), near if both else F.filter(near, lambda v: v > own))
 
 
+def _tagged(values: Column, segment: int, k: str, v: str) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(segment).alias(k), x.alias(v)))
+
+
 def links(nodes: DataFrame, index: Index) -> DataFrame:
     """(a, b), a pair of nodes(node, f0, ...) once: all found within index.distance of each other."""
     names = [f"f{w}" for w in range(index.words)]
     segments = range(len(index.radii))
     entries = nodes.select("node", *names, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _segment(index, k).alias("v")) for k in segments))).alias("e")).select("node", *names, "e.k", "e.v")
-    probes = nodes.select("node", *names, F.explode(F.concat(*(F.transform(_lookups(index, k, r, False), lambda v, k=k: F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, r in enumerate(index.radii)))).alias("e")).select("node", *names, "e.k", "e.v")
+    probes = nodes.select("node", *names, F.explode(F.concat(*(_tagged(_lookups(index, k, r, False), k, "k", "v") for k, r in enumerate(index.radii)))).alias("e")).select("node", *names, "e.k", "e.v")
     hot = checkpointed(entries.groupBy("k", "v").count().where(F.col("count") > HOT).select("k", "v"))
 
     def verified(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -135,7 +139,7 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
 
         def second(rows: DataFrame, keys) -> DataFrame:
             rows = rows.join(hot, ["k", "v"])
-            return rows.select("*", F.explode(F.concat(*(F.transform(keys(k2), lambda v, k2=k2: F.struct(F.lit(k2).alias("k2"), v.alias("v2"))) for k2 in segments))).alias("e2")).select("*", "e2.k2", "e2.v2").drop("e2").where("k <> k2")
+            return rows.select("*", F.explode(F.concat(*(_tagged(keys(k2), k2, "k2", "v2") for k2 in segments))).alias("e2")).select("*", "e2.k2", "e2.v2").drop("e2").where("k <> k2")
 
         found.append(verified(second(probes, lambda k: _lookups(index, k, index.second_radius, True)), second(entries, lambda k: F.array(_segment(index, k))), ["k", "v", "k2", "v2"]))
     return reduce(DataFrame.union, found).distinct()
