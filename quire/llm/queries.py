@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import pieces, secrets, simhash
+from quire.llm import licenses, line_rules, pieces, secrets, simhash
 from quire.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,5 +28,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op5_simhash": op5_simhash, "op7_secrets": op7_secrets}
-SQL: dict[str, str] = {}
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_line_frequency": op1_line_frequency,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_licenses": op4_licenses,
+    "op5_simhash": op5_simhash,
+    "op7_secrets": op7_secrets,
+}
+SQL: dict[str, str] = {"op1_line_frequency": line_rules.SQL, "op4_licenses": licenses.SQL}
