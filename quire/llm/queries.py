@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import licenses, line_rules, pieces, secrets, simhash
-from quire.llm.common import documents
+from quire.llm import languages, licenses, line_rules, pieces, quality, secrets, simhash
+from quire.llm.common import documents, table
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,23 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return languages.identify(docs, languages.train(docs))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
+    "op6_languages": op6_languages,
     "op7_secrets": op7_secrets,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op1_line_frequency": line_rules.SQL, "op4_licenses": licenses.SQL}
