@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import languages, licenses, line_rules, pieces, quality, secrets, simhash
+from quire.llm import languages, licenses, line_rules, parsing, pieces, quality, secrets, simhash
 from quire.llm.common import documents, table
 
 
@@ -42,6 +42,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.with_edits(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_sentencepiece": op3_sentencepiece,
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_languages": op6_languages,
     "op7_secrets": op7_secrets,
+    "op8_fingerprints": op8_fingerprints,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op1_line_frequency": line_rules.SQL, "op4_licenses": licenses.SQL}
