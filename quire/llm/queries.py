@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import languages, licenses, line_rules, parsing, pieces, quality, secrets, simhash
+from quire.llm import languages, licenses, line_rules, packing, parsing, pieces, quality, secrets, simhash
 from quire.llm.common import documents, table
 
 
@@ -18,6 +18,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_packing": op2_packing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
