@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import languages, licenses, line_rules, packing, parsing, pieces, quality, secrets, simhash
+from quire.llm import languages, licenses, line_rules, packing, parsing, pieces, privacy, quality, secrets, simhash
 from quire.llm.common import documents, table
 
 
@@ -43,6 +43,10 @@ def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, languages.train(docs))
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan(documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_languages": op6_languages,
     "op7_secrets": op7_secrets,
     "op8_fingerprints": op8_fingerprints,
+    "op9_privacy": op9_privacy,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op1_line_frequency": line_rules.SQL, "op4_licenses": licenses.SQL}
