@@ -19,6 +19,7 @@ from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,11 +155,15 @@ def redact_text(text: str | None, mark: str = "[{}]") -> str | None:
 
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with the secrets in its texts replaced; all other columns and all rows stay."""
+    """docs with the secrets in its texts replaced, and n_chars, if there, counted anew; all rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_column):
             at = batch.schema.get_field_index(text_column)
-            yield batch.set_column(at, text_column, pa.array([redact_text(t) for t in batch.column(at).to_pylist()], pa.string()))
+            texts = pa.array([redact_text(t) for t in batch.column(at).to_pylist()], pa.string())
+            batch = batch.set_column(at, text_column, texts)
+            if (n := batch.schema.get_field_index("n_chars")) >= 0:
+                batch = batch.set_column(n, "n_chars", pc.utf8_length(texts).cast(batch.schema.field(n).type))
+            yield batch
 
     return docs.mapInArrow(run, docs.schema)
