@@ -1,6 +1,419 @@
-"""Queries of the library itself: name -> (callable, DuckDB SQL or None)."""
+"""Queries of the library itself over the sample tables, each with the same query as DuckDB SQL.
+
+The tables stand in for a library: documents' source is a book, doc_id a chapter, a line a block; a conversation is
+a book and its turns are chapters; events are a reading log.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quire import config as C
+from quire.functions import text as X
+from quire.operators import cascade, clean, navigate, toc
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.lines_of(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORM = _LOWER.format(r"trim(regexp_replace(regexp_replace(array_to_string(words, ' '), '[^\x00-\x7F]|[[:punct:]]', '', 'g'), '[ \t-\r]+', ' ', 'g'))")
+_LINES = r"""
+lines AS (
+  SELECT source AS book_id, doc_id AS spine_index, (unnest(range(0, len(l))))::int AS block_index, unnest(l) AS line
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)),
+blocks AS (
+  SELECT * FROM (SELECT book_id, spine_index, block_index,
+    list_filter(string_split_regex(line, '[ \t\n\r\x{00A0}]+'), lambda x: x <> '') AS words FROM lines)
+  WHERE len(words) > 0)"""
+_IS_DIGITS = r"(regexp_full_match({0}, '[0-9.,\-]+') AND length(regexp_replace({0}, '[^0-9]', '', 'g')) BETWEEN 1 AND 4)"
+_PAGE_NUMBER = f"len(list_filter(words, lambda w: NOT {_IS_DIGITS.format('w')})) = 0"
+_COUNTED = rf"""{_LINES},
+normed AS (SELECT *, {_NORM} AS norm FROM blocks),
+judged AS (SELECT *, len(words) <= 16 AND NOT ({_PAGE_NUMBER}) AND strlen(norm) >= 8 AS eligible FROM normed),
+counts AS (SELECT book_id, norm, count(*) AS repeats FROM judged WHERE eligible GROUP BY book_id, norm),
+counted AS (SELECT j.*, c.repeats FROM judged j LEFT JOIN counts c ON j.book_id = c.book_id AND j.norm = c.norm AND j.eligible)"""
+_FOLIOS = rf"""
+folios AS (
+  SELECT DISTINCT book_id, folio FROM (
+    SELECT book_id, CASE WHEN {_PAGE_NUMBER} THEN regexp_extract(words[1], '^[0-9]*')
+      WHEN len(words) >= 8 AND {_IS_DIGITS.format('words[-1]')} THEN regexp_extract(words[-1], '^[0-9]*') END AS folio FROM blocks)
+  WHERE folio <> '')"""
+
+
+@query(f"WITH {_LINES} SELECT book_id, spine_index, block_index, array_to_string(words, ' ') AS line_text, len(words)::int AS n_words FROM blocks")
+def blocks_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of text as a block of words."""
+    return _lines(spark, sf_dir).select("book_id", "spine_index", "block_index", F.array_join("words", " ").alias("line_text"), F.size("words").alias("n_words"))
+
+
+@query(f"WITH {_LINES} SELECT book_id, spine_index, block_index, {_NORM} AS norm FROM blocks")
+def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("book_id", "spine_index", "block_index", X.normalized_text(F.array_join("words", " ")).alias("norm"))
+
+
+@query(f"WITH {_COUNTED} SELECT book_id, norm, max(repeats)::bigint AS repeats FROM counted WHERE repeats >= 4 GROUP BY book_id, norm")
+def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a book repeats so often that they are running heads."""
+    return clean.counted(_lines(spark, sf_dir)).where(F.col("repeats") >= C.RUNNING_HEAD_MIN_REPEATS).groupBy("book_id", "norm").agg(F.max("repeats").alias("repeats"))
+
+
+@query(
+    f"""WITH {_COUNTED} SELECT book_id, count(*)::bigint AS blocks, count(*) FILTER (repeats >= 4)::bigint AS dropped,
+count(*) FILTER ({_PAGE_NUMBER})::bigint AS page_numbers, sum(len(words))::bigint AS words FROM counted GROUP BY book_id"""
+)
+def pruned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pruning running heads leaves of each book."""
+    rows = clean.counted(_lines(spark, sf_dir))
+    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
+    return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("blocks"), count(F.col("repeats") >= C.RUNNING_HEAD_MIN_REPEATS, "dropped"), count(X.is_page_number("words"), "page_numbers"), F.sum(F.size("words")).alias("words"))
+
+
+@query(f"WITH {_LINES}, {_FOLIOS} SELECT book_id, count(*)::bigint AS evidence, count(*) >= 4 AS strip FROM folios GROUP BY book_id")
+def folio_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct printed page numbers of each book."""
+    return clean.strips_folios(_lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_LINES}, {_FOLIOS}, strips AS (SELECT book_id FROM folios GROUP BY book_id HAVING count(*) >= 4)
+SELECT book_id, spine_index, block_index, words[-1] AS trimmed_word, (len(words) - 1)::int AS words_left FROM blocks JOIN strips USING (book_id)
+WHERE len(words) >= 8 AND {_IS_DIGITS.format('words[-1]')} AND regexp_extract(words[-1], '^[0-9]*') <> ''"""
+)
+def folio_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs whose last word is a page number that pruning takes off."""
+    blocks = clean.prune(_typed(_lines(spark, sf_dir)))
+    # places count from before pruning here, so they are taken from the lines again
+    source = _lines(spark, sf_dir).join(clean.strips_folios(_lines(spark, sf_dir)).where("strip").select("book_id"), "book_id", "left_semi")
+    trimmed = blocks.where("trimmed_word IS NOT NULL").select("book_id", "spine_index", "trimmed_word", clean.texts().alias("kept")).distinct()
+    rows = source.select("book_id", "spine_index", "block_index", F.element_at("words", -1).alias("trimmed_word"), F.slice("words", 1, F.size("words") - 1).alias("kept"))
+    return rows.join(trimmed, ["book_id", "spine_index", "trimmed_word", "kept"], "left_semi").select("book_id", "spine_index", "block_index", "trimmed_word", F.size("kept").alias("words_left"))
+
+
+def _typed(lines: DataFrame) -> DataFrame:
+    """Lines as plain paragraphs of the full block schema."""
+    words = F.transform("words", lambda w: F.struct(w.alias("text"), F.length(w).alias("visual_width"), F.lit(0).alias("style"), F.lit(True).alias("space_after")))
+    plain = {"type": F.lit("PARAGRAPH"), "heading_level": F.lit(0), "anchor_id": F.lit(None).cast("string"), "section_title": F.lit(None).cast("string"), "css_heading": F.lit(False), "css_page_break": F.lit(False), "css_centered": F.lit(False), "css_font_ratio": F.lit(1.0).cast("float"), "words": words}
+    return lines.withColumns(plain)
+
+
+@query(
+    f"""WITH {_LINES} SELECT b.spine_index, b.block_index, array_to_string(words, ' ') AS section_title,
+CASE WHEN l.toxic = 1 THEN 1 ELSE 2 END::int AS heading_level, 'rr-h-' || b.spine_index || '-' || b.block_index AS anchor_id
+FROM blocks b JOIN labels l ON b.spine_index = l.doc_id WHERE l.quality = 1 AND len(words) BETWEEN 1 AND 20 AND NOT ({_PAGE_NUMBER})"""
+)
+def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short bold lines become headings; here lines of good documents count as bold, those of toxic ones as after a page break."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("spine_index"), "quality", "toxic")
+    blocks = _typed(_lines(spark, sf_dir)).join(labels, "spine_index")
+    bold = F.transform("words", lambda w: w.withField("style", F.when(F.col("quality") == 1, C.BOLD).otherwise(0)))
+    found = clean.promote(blocks.withColumns({"words": bold, "css_page_break": F.col("toxic") == 1}))
+    return found.where("type = 'HEADING'").select("spine_index", "block_index", "section_title", "heading_level", "anchor_id")
+
+
+@query(
+    f"""WITH {_LINES}, first AS (SELECT spine_index, arg_min(array_to_string(words, ' '), block_index) AS t FROM blocks WHERE len(words) <= 5 GROUP BY spine_index)
+SELECT d.source AS book_id, d.doc_id AS spine_index, coalesce(t, 'Chapter') AS title FROM documents d LEFT JOIN first ON d.doc_id = first.spine_index"""
+)
+def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chapter is named by its first heading (here: a line of five words or fewer), else it keeps its title."""
+    docs = table(spark, sf_dir, "documents")
+    chapters = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("spine_index"), F.lit("Chapter").alias("title"))
+    lines = _typed(_lines(spark, sf_dir)).withColumns({"type": F.when(F.size("words") <= 5, "HEADING").otherwise("PARAGRAPH"), "section_title": clean.plain_text()})
+    return clean.chapter_titles(chapters, lines).select("book_id", "spine_index", "title")
+
+
+def _conversation_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    order = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role")) - 1
+    return turns.select(F.col("conv_id").alias("book_id"), order.alias("spine_index"), "turn", "role", "text", F.concat(F.lit("turn"), F.col("turn").cast("string"), F.lit(".xhtml")).alias("full_path"))
+
+
+_SPINE = "spine AS (SELECT conv_id AS book_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1)::int AS spine_index, turn, role, text, 'turn' || turn || '.xhtml' AS full_path FROM conversations)"
+
+
+@query(f"WITH {_SPINE} SELECT book_id, spine_index AS toc_index, 'Chapter ' || (spine_index + 1) AS title, full_path, 0::int AS level FROM spine WHERE book_id % 2 = 0")
+def toc_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books without contents (here those of even number) get an entry for each chapter."""
+    spine = _conversation_spine(spark, sf_dir)
+    return toc.fallback(spine, spine.where("book_id % 2 = 1")).select("book_id", "toc_index", "title", "full_path", "level")
+
+
+@query(
+    f"""WITH {_SPINE} SELECT book_id, count(*)::bigint AS spine_count, count(DISTINCT CASE WHEN role = 'user' THEN spine_index END)::bigint AS covered FROM spine GROUP BY book_id"""
+)
+def toc_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of each book, and those that its contents (here: the user's turns) name."""
+    spine = _conversation_spine(spark, sf_dir)
+    return toc.coverage(spine.where("role = 'user'"), spine)
+
+
+@query(
+    f"""WITH {_SPINE}, new AS (SELECT book_id, spine_index, left(text, 12) AS title, spine_index AS o, 0 AS part FROM spine WHERE role = 'assistant'),
+old AS (SELECT book_id, spine_index, CASE WHEN turn % 3 = 0 THEN left(text, 12) ELSE 'Turn ' || turn END AS title, spine_index AS o, 1 AS part FROM spine),
+kept AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.book_id = old.book_id AND new.spine_index = old.spine_index AND new.title = old.title))
+SELECT book_id, spine_index, title, (row_number() OVER (PARTITION BY book_id ORDER BY part, o) - 1)::int AS toc_index FROM (SELECT * FROM new UNION ALL SELECT * FROM kept)"""
+)
+def toc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries from headings first, then the old ones that repeat none of them."""
+    spine = _conversation_spine(spark, sf_dir)
+    head = F.substring("text", 1, 12)
+    new = spine.where("role = 'assistant'").select("book_id", "spine_index", head.alias("title"), F.col("spine_index").alias("toc_index"))
+    old = spine.select("book_id", "spine_index", F.when(F.col("turn") % 3 == 0, head).otherwise(F.concat(F.lit("Turn "), F.col("turn").cast("string"))).alias("title"), F.col("spine_index").alias("toc_index"))
+    kept = old.join(new.select("book_id", "spine_index", "title").distinct(), ["book_id", "spine_index", "title"], "left_anti")
+    return toc.merged(new, kept)
+
+
+@query(
+    """WITH items AS (SELECT DISTINCT l_orderkey AS book_id, l_linenumber * 10000000 + l_partkey AS pos, l_partkey % 50 AS id FROM lineitem),
+first AS (SELECT book_id, id, min(pos) AS pos FROM items GROUP BY ALL),
+refs AS (SELECT book_id, pos, CASE WHEN pos % 4 = 3 THEN -1 ELSE id END AS idref FROM items)
+SELECT r.book_id, r.pos, (row_number() OVER (PARTITION BY r.book_id ORDER BY r.pos) - 1)::int AS spine_index, f.pos AS manifest_pos
+FROM refs r JOIN first f ON r.book_id = f.book_id AND r.idref = f.id"""
+)
+def spine_manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to manifest items, the first of equal ids; unknown ones vanish and the rest count from 0. An order stands in for a book, its lines for items."""
+    place = F.col("l_linenumber") * F.lit(10_000_000) + F.col("l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), place.alias("pos"), (F.col("l_partkey") % 50).alias("id")).distinct()
+    manifest = lines.withColumns({"full_path": F.col("id").cast("string"), "media_type": F.lit("text/html")})
+    refs = lines.select("book_id", "pos", F.when(F.col("pos") % 4 == 3, -1).otherwise(F.col("id")).alias("idref"))
+    return toc.spine_of(refs, manifest).select("book_id", "pos", "spine_index", "manifest_pos")
+
+
+@query(
+    """WITH spine AS (SELECT o_custkey % 100 AS book_id, 'p' || (o_custkey % 37) AS full_path, min(o_orderkey) AS spine_index FROM orders GROUP BY ALL)
+SELECT c.c_custkey AS toc_index, c.c_custkey % 100 AS book_id, 'p' || (c_custkey % 53) AS full_path, coalesce(s.spine_index, -1)::bigint AS spine_index
+FROM customer c LEFT JOIN spine s ON s.book_id = c.c_custkey % 100 AND s.full_path = 'p' || (c_custkey % 53)"""
+)
+def toc_spine_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry's first chapter by path, -1 where there is none. Customers stand in for entries, orders for chapters."""
+    path = lambda c, m: F.concat(F.lit("p"), (F.col(c) % m).cast("string")).alias("full_path")
+    spine = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("book_id"), path("o_custkey", 37), F.col("o_orderkey").alias("spine_index"))
+    entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("toc_index"), (F.col("c_custkey") % 100).alias("book_id"), path("c_custkey", 53))
+    return toc.targets(entries, spine).select("toc_index", "book_id", "full_path", "spine_index")
+
+
+@query(
+    """SELECT page_id, regexp_extract(split_part(url, '#', 1), '^(.*)/[^/]*$', 1) AS dirname, split_part(url, '#', 1) AS path,
+CASE WHEN contains(url, '#') THEN substr(url, instr(url, '#') + 1) END AS fragment, url_decode(replace(url, '+', ' ')) AS decoded FROM pages"""
+)
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.path_dirname(X.url_path("url")).alias("dirname"), X.url_path("url").alias("path"), X.url_fragment("url").alias("fragment"), X.url_decode("url").alias("decoded"))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, 'OEBPS/./text//' || page_id || '/../img/' || (page_id % 7) || '.png' AS raw FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(raw, '/\./', '/', 'g'), '//+', '/', 'g'), '/[0-9]+/\.\./', '/') AS normal,
+'../../x' AS up, 'x' AS up_normal, 'OEBPS/style.css' AS joined FROM p"""
+)
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with dots, doubled slashes and steps up, and one joined to a folder."""
+    page = F.col("page_id").cast("string")
+    raw = F.concat(F.lit("OEBPS/./text//"), page, F.lit("/../img/"), (F.col("page_id") % 7).cast("string"), F.lit(".png"))
+    return table(spark, sf_dir, "pages").select("page_id", X.path_normalize(raw).alias("normal"), F.lit("../../x").alias("up"), X.path_normalize(F.lit("../../x")).alias("up_normal"), X.path_join(F.lit("OEBPS/text/.."), F.lit("style.css")).alias("joined"))
+
+
+_UNITS = ("px", "pt", "%", "em", "rem", "pc", "in", "cm", "mm", "ex", "ch", "vw", "", " PX")
+
+
+@query(
+    "WITH v AS (SELECT p_partkey, p_size, CASE p_partkey % 17 "
+    + " ".join(f"WHEN {i} THEN p_size || '{u}'" for i, u in enumerate(_UNITS))
+    + " WHEN 14 THEN 'Large ' WHEN 15 THEN 'smaller' ELSE '0' || p_size || 'q' END AS css_value FROM part) SELECT p_partkey, css_value, (CASE p_partkey % 17 "
+    + " ".join(f"WHEN {i} THEN greatest(0.2, least(5.0, p_size::double * ({C.SIZE_UNITS[u.strip().lower()]!r})))" for i, u in enumerate(_UNITS))
+    + " WHEN 14 THEN 1.2 WHEN 15 THEN 0.83 END)::float AS font_ratio FROM v"
+)
+def css_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font sizes of all units as ratios."""
+    size = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % (len(_UNITS) + 3)
+    value = F.when(kind == 14, "Large ").when(kind == 15, "smaller").when(kind == 16, F.concat(F.lit("0"), size, F.lit("q")))
+    for i, unit in enumerate(_UNITS):
+        value = value.when(kind == i, F.concat(size, F.lit(unit)))
+    return table(spark, sf_dir, "part").select("p_partkey", value.alias("css_value")).withColumn("font_ratio", X.css_size("css_value"))
+
+
+@query(
+    """WITH decl AS (SELECT p_partkey, p_size, p_partkey % 20 AS book_id, p_partkey % 3 AS k, p_partkey % 11 AS key FROM part),
+rules AS (SELECT book_id, k, key, bool_or(p_size > 25) AS bold, arg_max((greatest(0.2, least(5.0, p_size / 16.0)))::float, p_partkey) FILTER (p_size % 2 = 0) AS r FROM decl GROUP BY ALL),
+el AS (SELECT s_suppkey AS element_id, s_suppkey % 20 AS book_id, s_suppkey % 11 AS t, s_suppkey % 7 AS i, s_suppkey % 5 AS c FROM supplier),
+met AS (SELECT element_id, bold, r, k AS rank FROM el JOIN rules ON el.book_id = rules.book_id AND rules.key = CASE rules.k WHEN 0 THEN el.t WHEN 1 THEN el.i ELSE el.c END)
+SELECT el.element_id, coalesce(bool_or(met.bold), false) AS bold, arg_max(r, rank) FILTER (r IS NOT NULL) AS font_ratio FROM el LEFT JOIN met USING (element_id) GROUP BY el.element_id"""
+)
+def css_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of declarations and applied to elements. Parts stand in for declarations, suppliers for elements."""
+    part = table(spark, sf_dir, "part")
+    key = (F.col("p_partkey") % 11).cast("string")
+    selector = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("div > T"), key)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("#T"), key)).otherwise(F.concat(F.lit(".t"), key))
+    book = (F.col("p_partkey") % 20).alias("book_id")
+    weights = part.where("p_size > 25").select(book, F.col("p_partkey").alias("pos"), F.array(selector).alias("selectors"), F.lit("font-weight").alias("prop"), F.lit("BOLD !important").alias("value"))
+    sizes = part.where("p_size % 2 = 0").select(book, F.col("p_partkey").alias("pos"), F.array(selector).alias("selectors"), F.lit("Font-Size").alias("prop"), F.concat(F.col("p_size").cast("string"), F.lit("px")).alias("value"))
+    name = lambda m: F.concat(F.lit("t"), (F.col("s_suppkey") % m).cast("string"))
+    elements = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("book_id"), F.col("s_suppkey").alias("element_id"), name(11).alias("tag"), name(7).alias("id"), name(5).alias("class"), F.lit(None).cast("string").alias("style"))
+    return cascade.resolve(elements, cascade.rules(weights.unionByName(sizes))).select("element_id", "bold", "font_ratio")
+
+
+def _chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chapters of one page for each 200 characters begun."""
+    spine = _conversation_spine(spark, sf_dir)
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 200)).cast("int")
+    pages = spine.select("book_id", "spine_index", "role", F.explode(F.sequence(F.lit(1), n)).alias("page_in_chapter"))
+    return navigate.number_pages(pages)
+
+
+_PAGES = f"""{_SPINE}, paged AS (SELECT book_id, spine_index, role, unnest(range(1, greatest(1, ceil(length(text) / 200.0))::int + 1))::int AS page_in_chapter FROM spine),
+pages_ AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY spine_index, page_in_chapter))::int AS global_page FROM paged)"""
+
+
+@query(f"WITH {_PAGES} SELECT book_id, spine_index, page_in_chapter, global_page FROM pages_")
+def global_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chapter_pages(spark, sf_dir).select("book_id", "spine_index", "page_in_chapter", "global_page")
+
+
+@query(f"WITH {_PAGES} SELECT book_id, global_page, (global_page * 100 // count(*) OVER (PARTITION BY book_id))::int AS percent FROM pages_")
+def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _chapter_pages(spark, sf_dir)
+    total = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("total"))
+    return pages.join(total, "book_id").select("book_id", "global_page", X.progress_percent(F.col("global_page"), F.col("total")).alias("percent"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).select("book_id", F.col("spine_index").alias("global_page"), F.col("block_index").alias("line_index"), F.posexplode("words").alias("word_index", "word"))
+    return lines
+
+
+_MATCHES = f"""{_LINES}, w AS (SELECT book_id, spine_index AS global_page, block_index AS line_index, (unnest(range(0, len(words))))::int AS word_index, unnest(words) AS word FROM blocks),
+matches AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY global_page, line_index, word_index) - 1)::int AS match FROM w WHERE contains({_LOWER.format("word")}, 'tion'))"""
+
+
+@query(f"WITH {_MATCHES} SELECT book_id, global_page, line_index, word_index, word, match FROM matches")
+def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that holds a query, in reading order; a document stands in for a page."""
+    return navigate.search(_words(spark, sf_dir), " TION ")
+
+
+@query(f"WITH {_MATCHES}, n AS (SELECT book_id, count(*) AS n FROM matches GROUP BY book_id) SELECT book_id, match, ((match + 1) % n)::int AS next_match, ((match - 1 + n) % n)::int AS previous_match FROM matches JOIN n USING (book_id)")
+def search_next_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.next_previous(navigate.search(_words(spark, sf_dir), "tion")).select("book_id", "match", "next_match", "previous_match")
+
+
+@query(f"WITH {_MATCHES} SELECT book_id, coalesce(min(match) FILTER (global_page >= 500), min(match))::int AS match FROM matches GROUP BY book_id")
+def search_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a search from page 500 begins: the first match there or later, else the first of all."""
+    return navigate.first_match(navigate.search(_words(spark, sf_dir), "tion"), F.lit(500))
+
+
+@query(
+    f"""WITH {_LINES}, pages_ AS (SELECT book_id, spine_index, (block_index // 5)::int AS p, min(block_index) // 5 * 5 AS start_line FROM blocks GROUP BY ALL),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY spine_index, p))::int AS global_page FROM pages_),
+entries AS (SELECT book_id, spine_index, block_index FROM blocks WHERE len(words) <= 3)
+SELECT e.book_id, e.spine_index, e.block_index, n.global_page AS page FROM entries e JOIN numbered n ON e.book_id = n.book_id AND e.spine_index = n.spine_index AND e.block_index // 5 = n.p"""
+)
+def toc_page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each entry by the range of lines that holds its anchor. Pages are of five lines, short lines are anchored entries."""
+    blocks = _lines(spark, sf_dir)
+    anchor = F.format_string("%d-%d", F.col("spine_index"), F.col("block_index"))
+    lines = blocks.select("book_id", "spine_index", F.col("block_index").alias("line_index"), F.when(F.size("words") <= 3, anchor).alias("anchor_id"))
+    pages = blocks.groupBy("book_id", "spine_index", F.floor(F.col("block_index") / 5).cast("int").alias("page_in_chapter")).agg(F.lit(5).alias("line_count"))
+    pages = navigate.number_pages(pages.withColumns({"start_line": F.col("page_in_chapter") * 5, "anchor_id": F.lit(None).cast("string")}))
+    entries = blocks.where(F.size("words") <= 3).select("book_id", "spine_index", "block_index", anchor.alias("anchor"))
+    return navigate.toc_pages(entries, pages, lines).select("book_id", "spine_index", "block_index", "page")
+
+
+@query(
+    f"""WITH {_PAGES}, firsts AS (SELECT book_id, spine_index AS toc_index, min(global_page) AS page, FROM pages_ GROUP BY ALL),
+entries AS (SELECT book_id, toc_index, CASE WHEN toc_index % 4 = 3 THEN 1000 ELSE page END AS page FROM firsts),
+run AS (SELECT *, min((page <= 3)::int) OVER (PARTITION BY book_id ORDER BY toc_index) AS inside FROM entries)
+SELECT book_id, coalesce(max(toc_index) FILTER (inside = 1), 0)::int AS toc_index FROM run GROUP BY book_id"""
+)
+def toc_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry that page 3 of each book belongs to; entries out of order end the search."""
+    firsts = navigate.chapter_first_pages(_chapter_pages(spark, sf_dir)).select("book_id", F.col("spine_index").alias("toc_index"), F.col("first_page"))
+    entries = firsts.select("book_id", "toc_index", F.when(F.col("toc_index") % 4 == 3, 1000).otherwise(F.col("first_page")).alias("page"))
+    return navigate.current_entry(entries, entries.select("book_id").distinct().withColumn("current_page", F.lit(3)))
+
+
+@query(
+    f"""WITH {_PAGES}, f AS (SELECT book_id, spine_index, min(global_page) AS a, max(global_page) AS z FROM pages_ GROUP BY ALL),
+o AS (SELECT *, lead(a) OVER w AS n, lag(a) OVER w AS b FROM f WINDOW w AS (PARTITION BY book_id ORDER BY spine_index))
+SELECT book_id, n::int AS next_page, (CASE WHEN a = 2 THEN b ELSE a END)::int AS previous_page FROM o WHERE a <= 2 AND z >= 2"""
+)
+def chapter_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the keys for the next and the previous chapter lead from page 2."""
+    return navigate.next_chapter_page(_chapter_pages(spark, sf_dir), 2)
+
+
+def _reading_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("user_id").alias("book_id"), F.floor(F.col("value")).cast("bigint").alias("page"), "ts", "event_id")
+
+
+@query("SELECT user_id AS book_id, floor(value)::bigint AS page, count(*)::bigint AS toggles FROM events GROUP BY ALL HAVING count(*) % 2 = 1")
+def bookmarks_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are bookmarked after all toggles of a log."""
+    return navigate.bookmarked(_reading_log(spark, sf_dir), "book_id", "page")
+
+
+@query(
+    """WITH b AS (SELECT user_id AS book_id, floor(value)::bigint AS page, event_id FROM events)
+SELECT book_id, list(page ORDER BY event_id)[1:256] AS bookmarks, count(*)::bigint AS wanted FROM (SELECT book_id, page, min(event_id) AS event_id FROM b GROUP BY ALL) GROUP BY book_id"""
+)
+def bookmarks_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks in the order they were first set, 256 at most."""
+    firsts = _reading_log(spark, sf_dir).groupBy("book_id", "page").agg(F.min("event_id").alias("event_id"))
+    marks = F.array_sort(F.collect_list(F.struct("event_id", "page")))
+    rows = firsts.groupBy("book_id").agg(marks.alias("m"), F.count(F.lit(1)).alias("wanted"))
+    return rows.select("book_id", F.slice(F.transform("m", lambda x: x["page"]), 1, C.MAX_BOOKMARKS).alias("bookmarks"), "wanted")
+
+
+@query("SELECT user_id AS book_id, arg_max(floor(value)::bigint, row(ts, event_id)) AS page FROM events GROUP BY user_id")
+def state_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's page in its last event."""
+    return navigate.last_positions(_reading_log(spark, sf_dir), "book_id", "page", "ts", "event_id")
+
+
+@query(
+    f"""WITH {_SPINE} SELECT book_id, spine_index, coalesce(last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER
+(PARTITION BY book_id ORDER BY spine_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Chapter') AS section_title FROM spine"""
+)
+def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that each chapter falls in: the last title so far."""
+    title = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    return navigate.carry_titles(_conversation_spine(spark, sf_dir), title, "spine_index", F.lit("Chapter"), "book_id").select("book_id", "spine_index", "section_title")
+
+
+@query(
+    """WITH c AS (SELECT source AS book_id, doc_id, lang, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::int AS n FROM documents),
+b AS (SELECT book_id, count(*)::bigint AS chapters, min(lang) AS language FROM c GROUP BY book_id)
+SELECT book_id, 0::int AS line_no, 'Title: ' || book_id AS line FROM b UNION ALL SELECT book_id, 1, 'Author: Unknown Author' FROM b
+UNION ALL SELECT book_id, 2, 'Language: ' || language FROM b UNION ALL SELECT book_id, 3, 'Chapters: ' || chapters FROM b
+UNION ALL SELECT book_id, n + 99, repeat('  ', (n % 3)::int) || '• ' || 'Document ' || doc_id || CASE WHEN n % 5 = 0 THEN '' ELSE ' (Spine item ' || n || ')' END FROM c"""
+)
+def info_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header and the contents of every book as lines of text."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    chapters = docs.select(F.col("source").alias("book_id"), "doc_id", "lang", n.alias("n"))
+    books = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.min("lang").alias("language")).withColumns({"title": F.col("book_id"), "author": F.lit("Unknown Author")})
+    entries = chapters.select("book_id", (F.col("n") - 1).alias("toc_index"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), (F.col("n") % 3).alias("level"), F.when(F.col("n") % 5 == 0, -1).otherwise(F.col("n") - 1).alias("spine_index"))
+    return navigate.info_lines(books, entries)
