@@ -417,3 +417,96 @@ def info_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.min("lang").alias("language")).withColumns({"title": F.col("book_id"), "author": F.lit("Unknown Author")})
     entries = chapters.select("book_id", (F.col("n") - 1).alias("toc_index"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), (F.col("n") % 3).alias("level"), F.when(F.col("n") % 5 == 0, -1).otherwise(F.col("n") - 1).alias("spine_index"))
     return navigate.info_lines(books, entries)
+
+
+# what is parsed or folded
+
+
+def _parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.plans.library import parse_chapters
+
+    pages = table(spark, sf_dir, "pages")
+    # the style that the pages carry in classes is given as rules
+    rules = F.array(F.struct(F.lit("CLASS").alias("kind"), F.lit("ad").alias("key"), F.lit(False).alias("bold"), F.lit(True).alias("italic"), F.lit(False).alias("underline"), F.lit(True).alias("center"), F.lit(False).alias("page_break_before"), F.lit(0.75).cast("float").alias("font_ratio")))
+    return parse_chapters(pages.select(F.lit("pages").alias("book_id"), F.col("page_id").cast("int").alias("spine_index"), F.col("html").alias("content"), rules.alias("rules")))
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as blocks of words."""
+    blocks = _parsed_pages(spark, sf_dir)
+    return blocks.select(F.col("spine_index").alias("page_id"), "block_index", "type", "heading_level", "anchor_id", "section_title", "css_centered", "css_font_ratio", clean.plain_text().alias("block_text"))
+
+
+@query(
+    r"""SELECT page_id::int AS page_id, replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title
+FROM pages WHERE regexp_matches(html, '(?s)<h1[^>]*>.*?</h1>')"""
+)
+def html_h1_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages named by their first heading."""
+    blocks = _parsed_pages(spark, sf_dir)
+    chapters = blocks.where("type = 'HEADING' AND heading_level = 1").select("book_id", "spine_index").distinct().withColumn("title", F.lit("Chapter"))
+    return clean.chapter_titles(chapters, blocks).select(F.col("spine_index").alias("page_id"), "title")
+
+
+@query(
+    r"""WITH n AS (SELECT page_id, regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1) AS nav FROM pages),
+l AS (SELECT page_id, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*</a>')) AS x, (unnest(range(0, len(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*</a>')))))::int AS toc_index FROM n)
+SELECT page_id, toc_index, trim(regexp_extract(x, '>([^<]*)</a>', 1)) AS title, regexp_extract(x, 'href="([^"]*)"', 1) AS href, 0::int AS level FROM l"""
+)
+def html_nav_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each page's navigation list."""
+    import pyarrow as pa
+
+    from quire.sources.html import nav_links
+
+    def run(batches):
+        for batch in batches:
+            rows = [{"page_id": p, "toc_index": i, "title": t, "href": h, "level": n} for p, x in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for i, (t, h, n) in enumerate(nav_links(x or ""))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("toc_index", pa.int32()), ("title", pa.string()), ("href", pa.string()), ("level", pa.int32())]))
+
+    return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, toc_index int, title string, href string, level int")
+
+
+def _widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).withColumn("widths", F.transform("words", lambda w: F.length(w)))
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES}, w AS (SELECT book_id, spine_index, block_index, list_transform(words, lambda x: length(x)) AS ws FROM blocks),
+fold AS (SELECT spine_index, block_index, ws, 1 AS i, 1 AS n, (4 + ws[1])::bigint AS used FROM w
+  UNION ALL SELECT spine_index, block_index, ws, i + 1, CASE WHEN used + 1 + ws[i + 1] > 66 THEN n + 1 ELSE n END, CASE WHEN used + 1 + ws[i + 1] > 66 THEN ws[i + 1] ELSE used + 1 + ws[i + 1] END
+  FROM fold WHERE i < len(ws))
+SELECT spine_index, block_index, n::int AS n_lines FROM fold WHERE i = len(ws)"""
+)
+def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of 66 cells each paragraph takes."""
+    from quire.operators.layout import word_lines
+
+    return _widths(spark, sf_dir).select("spine_index", "block_index", word_lines(F.col("widths"), 66, 4, 0).alias("n_lines"))
+
+
+@query(
+    f"""WITH {_LINES}, w AS (SELECT spine_index, block_index, list_transform(words[1:8], lambda x: length(x)) AS ws FROM blocks),
+s AS (SELECT *, len(ws) - 1 AS gaps, 66 - list_sum(ws) - 4 AS need FROM w),
+f AS (SELECT *, gaps > 0 AND need >= gaps AND need - gaps <= 33 AS fits FROM s)
+SELECT spine_index, block_index, list_transform(range(0, len(ws)), lambda i: (CASE WHEN i = gaps THEN 0 WHEN NOT fits THEN 1 ELSE need // greatest(gaps, 1) +
+CASE WHEN (block_index + 1) % 2 = 0 THEN (i < need % greatest(gaps, 1))::int ELSE (i >= gaps - need % greatest(gaps, 1))::int END END)::int) AS spaces_after FROM f"""
+)
+def justify_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaces that stretch the first eight words of each line over 66 cells."""
+    from quire.operators.layout import justify_spaces as spaces
+
+    rows = _widths(spark, sf_dir).withColumn("widths", F.slice("widths", 1, 8))
+    return rows.select("spine_index", "block_index", spaces(F.col("widths"), F.lit(4), F.lit(66), F.col("block_index") + 1, F.lit(True)).alias("spaces_after"))
+
+
+@query()
+def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents typeset as chapters: their pages, numbered over the book."""
+    from quire.operators import layout
+
+    docs = table(spark, sf_dir, "documents")
+    chapters = docs.select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("spine_index"), F.lit("Chapter").alias("title"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("chapter_title"))
+    blocks = _typed(_lines(spark, sf_dir)).withColumns({"spine_index": F.col("spine_index").cast("int"), "toc_title": F.lit(None).cast("string")})
+    return layout.pages_table(layout.typeset(chapters, blocks)).select("book_id", "spine_index", "page_in_chapter", "start_line", "line_count", "section_title", "is_title_page", "global_page")
