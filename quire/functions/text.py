@@ -98,8 +98,9 @@ def normalize_title(title: Column | str) -> Column:
     """Trimmed and collapsed, three dots as an ellipsis, at most 255 bytes; case is kept."""
     spaced = F.trim(F.regexp_replace(_col(title), "[ \\t\\n\\r]+", " "))
     dotted = F.replace(spaced, F.lit("..."), F.lit("…"))
-    # cut to bytes only where the characters exceed them
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(dotted, "UTF-8"), 1, C.TITLE_MAX_BYTES), "UTF-8"), "\\x{FFFD}+$", "")
+    # the longest beginning of so many bytes, sought only where a title has more
+    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(dotted), F.lit(C.TITLE_MAX_BYTES))), lambda n: F.octet_length(dotted.substr(F.lit(1), n)) <= C.TITLE_MAX_BYTES)
+    cut = dotted.substr(F.lit(1), F.array_max(fits))
     return F.when(F.octet_length(dotted) <= C.TITLE_MAX_BYTES, dotted).otherwise(cut)
 
 

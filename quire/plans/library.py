@@ -53,17 +53,24 @@ class Library:
     def read(cls, spark: SparkSession, path: str, options: Options = Options(), glob: str = "*.epub") -> Library:
         return cls(read_books(spark, path, glob, options.strict), options)
 
+    #: What `save` writes, each derived from those before.
+    TABLES = ("parsed", "spine", "css_rules", "raw_blocks", "blocks", "first_toc", "toc", "chapters", "laid")
+
     def save(self, folder: str) -> Library:
-        """Writes the parsed books, then blocks derived from the written ones; returns the library that reads them."""
-        self.parsed.write.mode("overwrite").parquet(f"{folder}/parsed")
-        held = Library(self.parsed.sparkSession.read.parquet(f"{folder}/parsed"), self.options)
-        held.raw_blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
-        return Library.load(self.parsed.sparkSession, folder, self.options)
+        """Writes the tables that others build on, each from the written ones before it, and returns the library that reads them."""
+        spark = self.parsed.sparkSession
+        held = Library(self.parsed, self.options)
+        for name in self.TABLES:
+            getattr(held, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+            setattr(held, name, spark.read.parquet(f"{folder}/{name}"))
+        return held
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, options: Options = Options()) -> Library:
+    def load(cls, spark: SparkSession, folder: str, options: Options = Options(), new_layout: bool = False) -> Library:
+        """A saved library; with a new layout, lines and pages follow the options given and not those it was saved with."""
         held = cls(spark.read.parquet(f"{folder}/parsed"), options)
-        held.raw_blocks = spark.read.parquet(f"{folder}/blocks")
+        for name in cls.TABLES[1 : -1 if new_layout else None]:
+            setattr(held, name, spark.read.parquet(f"{folder}/{name}"))
         return held
 
     @cached_property

@@ -26,8 +26,8 @@ def parse_states(lines: DataFrame) -> DataFrame:
     file = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     header = F.when(F.col("value").rlike(r"^\["), F.struct(F.regexp_extract("value", r"^\[BOOK:(.*)\]\s*$", 1).alias("id"), F.col("line_no").alias("at")))
     rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(file)).where("h.id <> ''").select("file", F.col("h.id").alias("book_id"), F.col("h.at").alias("at"), "line_no", "value")
-    heads = rows.groupBy("file", "book_id").agg(F.min("at").alias("at"))
-    rows = rows.join(heads, ["file", "book_id", "at"]).withColumns({"key": F.trim(F.substring_index("value", "=", 1)), "v": F.trim(F.expr("substr(value, instr(value, '=') + 1)"))})
+    first = F.min("at").over(W.partitionBy("file", "book_id"))
+    rows = rows.withColumn("first", first).where("at = first").withColumns({"key": F.trim(F.substring_index("value", "=", 1)), "v": F.trim(F.expr("substr(value, instr(value, '=') + 1)"))})
     wide = rows.groupBy("book_id").agg(*(F.max_by("v", F.when(F.col("key") == k, F.col("line_no"))).alias(k) for k in KEYS))
     number = lambda k: F.regexp_extract(k, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int")
     marks = F.transform(F.split(F.coalesce("bookmarks", F.lit("")), ","), lambda x: F.regexp_extract(x, r"^\s*([0-9]{1,18})", 1).try_cast("bigint"))
@@ -44,7 +44,7 @@ def parse_states(lines: DataFrame) -> DataFrame:
 
 def load_states(spark: SparkSession, path: str) -> DataFrame:
     """The states in files under path, each file read whole as it stands in order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
     return parse_states(files)
 
 
