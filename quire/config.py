@@ -23,7 +23,7 @@ WORD_MAX_BYTES = 4095
 MAX_BOOKMARKS = 256
 COLUMN_WIDTHS = (0, 50, 60, 66, 76, 86)
 AUTO_COLUMN, MIN_PAGE_HEIGHT = 66, 4
-ANCHOR_PREFIX = "rr-h"
+ANCHOR_PREFIX = "quire-h"
 BOLD, ITALIC, UNDERLINE, CODE, DIM, HEADING = 1, 2, 4, 8, 16, 32
 #: Titles that only navigate.
 JUNK_TITLES = (

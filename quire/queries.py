@@ -119,7 +119,7 @@ def _typed(lines: DataFrame) -> DataFrame:
 
 @query(
     f"""WITH {_LINES} SELECT b.spine_index, b.block_index, array_to_string(words, ' ') AS section_title,
-CASE WHEN l.toxic = 1 THEN 1 ELSE 2 END::int AS heading_level, 'rr-h-' || b.spine_index || '-' || b.block_index AS anchor_id
+CASE WHEN l.toxic = 1 THEN 1 ELSE 2 END::int AS heading_level, 'quire-h-' || b.spine_index || '-' || b.block_index AS anchor_id
 FROM blocks b JOIN labels l ON b.spine_index = l.doc_id WHERE l.quality = 1 AND len(words) BETWEEN 1 AND 20 AND NOT ({_PAGE_NUMBER})"""
 )
 def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

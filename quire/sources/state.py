@@ -15,7 +15,7 @@ KEYS = ("last_page", "theme", "column_width", "full_justify", "paragraph_style",
 
 def default_path() -> str:
     home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.environ.get("HOME", "."), ".config")
-    return os.path.join(home, "rr", "state")
+    return os.path.join(home, "quire", "state")
 
 
 def parse_states(lines: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def test_library_tables(library):
     assert "The Great Iliad of Homer" not in text and "3" not in text  # a running head and folios
     assert not any(t.endswith(("10", "42")) for t in text)
     heads = [b for b in blocks if b.type == "HEADING"]
-    assert [(h.section_title, h.heading_level, h.anchor_id) for h in heads] == [(f"Chapter {i + 1} opens", 1, f"rr-h-{i}-0") for i in range(4)]
+    assert [(h.section_title, h.heading_level, h.anchor_id) for h in heads] == [(f"Chapter {i + 1} opens", 1, f"quire-h-{i}-0") for i in range(4)]
 
 
 def test_library_contents(library):
