@@ -9,8 +9,7 @@ generalises entities to their kind and takes such terms out.
 
 DataFrame functions only. Spans come from the matches of a pattern and the texts between them, row by row. Only
 lines with an entity give (term, entity) pairs; they are combined by text before they are counted, so that an
-entity in a third of all documents is spread out. Of the corpus' words only candidates are counted: their
-table is broadcast where it has at most BROADCAST_TERMS rows, else all words are counted before the join.
+entity in a third of all documents is spread out. The corpus' words are counted before they are joined.
 
 Defined results: a null text counts as empty; null ids are ids like any other; repeated rows get the same spans
 and are one text as support; an empty table gives an empty result.
@@ -34,8 +33,6 @@ PATTERNS = {
 }
 GUARDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 MIN_LETTERS, MIN_SUPPORT, DISCLOSURE = 4, 3, 0.9
-#: Rows of at most some 50 bytes: a candidate table up to this size is broadcast.
-BROADCAST_TERMS = 100_000
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -121,12 +118,8 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = MIN_SUPPORT, di
     """(term, entity) of those of found, as pairs() gives them, whose PMI is at least `disclosure` of the entity's information."""
     by_text = found.groupBy("term", "entity", "content").agg(F.count_distinct("doc_id").alias("n"))
     joint = checkpointed(by_text.groupBy("term", "entity").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support))
-    terms = joint.select("term").distinct()
-    words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    # every word of the corpus is counted, in the tasks that read it before it is sent anywhere
+    counts = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     entities = found.select("entity", "content", "doc_id").groupBy("entity", "content").agg(F.count_distinct("doc_id").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
     n = docs.count()
     told = joint.join(counts, "term").join(entities, "entity")
