@@ -176,3 +176,57 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))))
     return rows.select("doc_id", text.alias("text"))
+
+
+def _sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # the patterns as they were asked for
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    # a match begins after the gaps up to its own and the matches before it
+    placed = "list_transform(range(1, len(m) + 1), lambda i: {{'v': m[i], 's': (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint}})"
+    found = lambda rows, text, pattern: f"(SELECT *, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS g FROM {rows})"
+    kinds = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest({placed.format()}) AS x FROM {found('d', 'text', p)}" for k, (kind, p) in enumerate(plain.items()))
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN reverse({digits})[i + 1]::int ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][reverse({digits})[i + 1]::int + 1] END)) % 10 = 0"
+    separators = r"[\x00-\x60\x7B-\x7F]+"
+    terms = f"list_filter(list_distinct(string_split_regex({lower.format('{0}')}, '{separators}')), lambda w: length(w) >= {MIN_LETTERS})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, k, kind, x.v AS v, x.s AS s, x.s + length(x.v) AS e FROM ({kinds})),
+base AS (
+  SELECT * FROM raw WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS int), 0) > 255)) = 0
+    WHEN 'card' THEN length({digits}) BETWEEN 13 AND 19 AND {luhn}
+    ELSE length({digits}) BETWEEN 9 AND 15 END),
+lines AS (
+  SELECT doc_id, text, l, i, (coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x))), 0) + i - 1)::bigint AS s
+  FROM (SELECT doc_id, text, ls, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d WHERE doc_id IN (SELECT doc_id FROM base)))),
+held AS (
+  SELECT n.doc_id, n.text, n.i, any_value(n.l) AS l, list(DISTINCT CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE kind || ':' || {digits} END) AS entities,
+    flatten(list(string_split_regex({lower.format('v')}, '{separators}'))) AS inside
+  FROM lines n JOIN base b ON b.doc_id = n.doc_id AND b.s >= n.s AND b.s < n.s + length(n.l) GROUP BY n.doc_id, n.text, n.i),
+pairs AS (SELECT DISTINCT doc_id, text, entity, unnest(list_filter({terms.format('l')}, lambda w: NOT list_contains(inside, w))) AS term FROM (SELECT *, unnest(entities) AS entity FROM held)),
+joint AS (SELECT term, entity, count(DISTINCT doc_id) AS both_, count(DISTINCT text) AS texts FROM pairs GROUP BY term, entity HAVING count(DISTINCT text) >= {MIN_SUPPORT}),
+counts AS (SELECT term, count(*) AS with_term FROM (SELECT unnest({terms.format('text')}) AS term FROM d) GROUP BY term),
+entities AS (SELECT entity, count(DISTINCT doc_id) AS with_entity FROM pairs GROUP BY entity),
+told AS (
+  SELECT term, entity FROM joint JOIN counts USING (term) JOIN entities USING (entity), (SELECT greatest(count(*), 2)::double AS n FROM d)
+  WHERE log2(n / with_entity) > 0 AND log2(both_ * n / (with_term * with_entity)) >= {DISCLOSURE} * log2(n / with_entity)),
+wanted AS (SELECT doc_id, list(DISTINCT term) AS terms FROM pairs JOIN told USING (term, entity) GROUP BY doc_id),
+marked AS (SELECT doc_id, terms, {lower.format('text')} AS low FROM d JOIN wanted USING (doc_id)),
+spans AS (
+  SELECT doc_id, k, kind, s, e FROM base
+  UNION ALL SELECT doc_id, 4, 'term', x.s, x.s + length(x.v) FROM (SELECT doc_id, terms, unnest({placed.format()}) AS x FROM {found('marked', 'low', '[a-z' + chr(92) + 'x{80}-' + chr(92) + 'x{10FFFF}]+')}) WHERE list_contains(terms, x.v)),
+joined AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_term,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS a FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint AS n_{k}" for k in (*KINDS, "term"))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN joined USING (doc_id)
+"""
+
+
+SQL = _sql()

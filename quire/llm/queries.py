@@ -68,4 +68,4 @@ QUERIES = {
     "op9_privacy": op9_privacy,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {"op1_line_frequency": line_rules.SQL, "op4_licenses": licenses.SQL}
+SQL: dict[str, str] = {"op1_line_frequency": line_rules.SQL, "op4_licenses": licenses.SQL, "op9_privacy": privacy.SQL}
