@@ -128,11 +128,26 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     sample = sorted((r["doc_id"], r["label"], r["text"] or "") for r in got)
     model = AttentionModel()
     if sample:
-        x, starts = passages([t for _, _, t in sample])
+        x, starts = _passages_in_parts([t for _, _, t in sample])
         model.fit(x, starts, np.array([y for _, y, _ in sample], np.float32))
     return model
 
 
+def _passages_in_parts(texts: list[str], most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """As passages(), a bounded number of characters at a time, since what a character takes on the way is far more than what its passage keeps."""
+    features, starts, n, at = [], [], 0, 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        x, s = passages(texts[at:end])
+        features.append(x)
+        starts.append(s + n)
+        n, at = n + len(x), end
+    return np.concatenate(features), np.concatenate(starts)
+
+
 def score(docs: DataFrame, model: AttentionModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs' rows as (doc_id, held_out, score, predicted)."""
     kind = dict(docs.dtypes)[id_column]
