@@ -6,9 +6,9 @@ a page don't make its own prose boilerplate. Boilerplate stays in the host's fir
 it and goes from all others; a document that lost so much that less than `min_share` of its words, or fewer than
 MIN_WORDS, are left is depleted and rejected.
 
-DataFrame functions only. Measures are taken row by row without a shuffle; line counts are combined
-before each of two shuffles, the first by (line, document), so a line that a third of all documents
-have is spread out; only the hashes of lines travel, and the texts only where `clean` takes lines out.
+DataFrame functions only. Measures are taken row by row without a shuffle. Lines are hashed once, into a checkpoint;
+their counts are combined before each of two shuffles, the first by (line, text), so a line that a third of all
+documents have is spread out. Only hashes travel, and the texts only where `clean` takes lines out.
 
 Defined results: a null text counts as empty; a null host is a host of its own; null ids come last
 in order; repeated rows get the same verdict; a line without letters is never boilerplate.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, lower_ascii
+from quire.llm.common import checkpointed
 
 MIN_WORDS = 10
 #: Distinct documents of a host with a line, beyond which it is boilerplate.
@@ -37,14 +37,14 @@ def words(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(lower_ascii(line), r"[\x00-\x60\x7B-\x7F]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x60\x7B-\x7F]+", " "))
 
 
-def _repeated_words(tokens: str) -> Column:
-    """Words within windows that occur twice or more; the array column holds the words."""
-    w, n = F.col(tokens), F.size(tokens)
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
-    return F.when(n > WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
+def _windows(hashes: str) -> Column:
+    """A hash of each window of WINDOW words, from the array of the words' hashes."""
+    n = F.size(hashes)
+    windows = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    return F.when(n > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(hashes: str) -> Column:
@@ -69,17 +69,17 @@ def _covered(hashes: str) -> Column:
 def measure(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    worded = F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, SPACES[1:], "")) != "")
-    out = docs.withColumns({"_w": words(text), "_l": worded}).withColumn("_h", _repeated_words("_w"))
+    worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = docs.withColumns({"_w": words(text), "_l": worded}).withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h", _windows("_x"))
     out = out.withColumns(
         {
             "n_words": F.size("_w").cast("bigint"),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("bigint"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("bigint"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
             "n_repeat_words": _covered("_h").cast("bigint"),
         }
-    ).drop("_w", "_l", "_h")
+    ).drop("_w", "_l", "_x", "_h")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
@@ -89,55 +89,56 @@ def _line_key(line: Column, host: Column) -> Column:
     return F.when(normal != "", F.xxhash64(F.coalesce(host, F.lit("\x00")), normal))
 
 
-def boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """(line, first): lines found in more than max_documents distinct texts of their host, and the first document with each."""
-    host = F.col(host_column).cast("string")
-    keys = F.array_distinct(F.transform(F.split(text_column, "\n"), lambda x: _line_key(x, host)))
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("content"), F.explode(F.array_compact(keys)).alias("line"))
-    by_text = rows.groupBy("line", "content").agg(F.min("id").alias("first"))
-    return by_text.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") > max_documents).select("line", "first")
+def line_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
+    """(id, content, place, line, n): the hash of each line with letters and its number of words; of a document, its id and the hash of its text."""
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("content"), F.col(host_column).cast("string").alias("host"), F.posexplode(F.split(text_column, "\n")).alias("place", "text"))
+    return rows.select("id", "content", "place", _line_key(F.col("text"), F.col("host")).alias("line"), F.size(words(F.col("text"))).alias("n")).where("line IS NOT NULL")
 
 
-def removals(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """(id, content, removed): for documents that lose lines, the hashes of those lines."""
-    host = F.col(host_column).cast("string")
-    keys = F.array_distinct(F.transform(F.split(text_column, "\n"), lambda x: _line_key(x, host)))
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("content"), F.explode(F.array_compact(keys)).alias("line"))
-    hit = rows.join(boilerplate(docs, max_documents, id_column, text_column, host_column), "line").where(~F.col("id").eqNullSafe(F.col("first")))
-    return hit.groupBy("id", "content").agg(F.collect_set("line").alias("removed"))
+def boilerplate(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(line, first): lines of line_rows() found in more than max_documents distinct texts of their host, and the first document with each."""
+    by_text = rows.groupBy("line", "content").agg(F.min("id").alias("first"))
+    return by_text.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") > max_documents).select("line", "first")
 
 
-def _joined(left: DataFrame, right: DataFrame, id_column: str, content: Column) -> DataFrame:
-    right = right.select(F.col("id").alias("_id"), F.col("content").alias("_content"), F.col("removed").alias("_removed"))
-    return left.join(right, F.col(id_column).eqNullSafe(F.col("_id")) & (content == F.col("_content")), "left").drop("_id", "_content")
+def removals(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(id, content, removed): for documents that lose lines, the lines' place, hash and number of words."""
+    hit = rows.join(boilerplate(rows, max_documents), "line").where(~F.col("id").eqNullSafe(F.col("first")))
+    return hit.groupBy("id", "content").agg(F.collect_set(F.struct("place", "n")).alias("removed"))
 
 
-def _verdict(kept_words: Column) -> Column:
-    depleted = F.col("_removed").isNotNull() & ((kept_words < MIN_WORDS) | (kept_words < MIN_SHARE * F.col("n_words")))
-    return ~F.col("base_failed") & ~depleted
+def _judged(docs: DataFrame, max_documents: int, id_column: str, text_column: str, host_column: str) -> DataFrame:
+    """docs with their measures, the places of lines to remove, n_lines_removed, n_words_left and kept."""
+    rows = checkpointed(line_rows(docs, id_column, text_column, host_column))
+    gone = removals(rows, max_documents).select(F.col("id").alias("_id"), F.col("content").alias("_content"), "removed")
+    out = measure(docs.withColumn("_c", F.xxhash64(text_column)), text_column)
+    out = out.join(gone, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_content")), "left").drop("_id", "_content", "_c")
+    lost = F.coalesce(F.aggregate("removed", F.lit(0), lambda a, x: a + x["n"]), F.lit(0))
+    out = out.withColumns({"n_lines_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("bigint"), "n_words_left": F.col("n_words") - lost})
+    depleted = F.col("removed").isNotNull() & ((F.col("n_words_left") < MIN_WORDS) | (F.col("n_words_left") < MIN_SHARE * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """A row for each of docs: (doc_id, measures, n_lines_removed, n_words_left, base_failed, kept)."""
-    host, text = F.col(host_column).cast("string"), F.col(text_column)
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(_line_key(x, host).alias("line"), F.size(words(x)).alias("n")))
-    measured = measure(docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_c"), lines.alias("_lines"))).drop("text")
-    out = _joined(measured, removals(docs, max_documents, id_column, text_column, host_column), "doc_id", F.col("_c"))
-    gone = F.filter("_lines", lambda x: F.array_contains(F.col("_removed"), x["line"]))
-    lost = F.when(F.col("_removed").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"]))
-    out = out.withColumns({"n_lines_removed": F.when(F.col("_removed").isNull(), 0).otherwise(F.size(gone)).cast("bigint"), "n_words_left": F.col("n_words") - lost})
-    return out.withColumn("kept", _verdict(F.col("n_words_left"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "n_words_left", "base_failed", "kept")
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(host_column).alias("host"))
+    out = _judged(docs, max_documents, "doc_id", "text", "host")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "n_words_left", "base_failed", "kept")
 
 
 def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """The documents that are kept, without their boilerplate lines; their columns as before, with n_chars, if there, counted anew."""
-    host, text = F.col(host_column).cast("string"), F.col(text_column)
-    out = _joined(measure(docs, text_column), removals(docs, max_documents, id_column, text_column, host_column), id_column, F.xxhash64(text))
-    left = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_removed"), _line_key(x, host)), F.lit(False)))
-    out = out.withColumn("_text", F.when(F.col("_removed").isNull(), text).otherwise(F.array_join(left, "\n")))
-    out = out.where(_verdict(F.when(F.col("_removed").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("_text"))))))
-    changed = {text_column: F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "n_words_left", "kept", "removed")
+    if clash := set(names) & set(docs.columns):  # columns of such names are carried under others
+        renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+        return clean(renamed, max_documents, id_column, text_column, host_column).withColumnsRenamed({f"_own_{c}": c for c in clash})
+    out = _judged(docs, max_documents, id_column, text_column, host_column).where("kept")
+    places = F.transform("removed", lambda x: x["place"])
+    left = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+    out = out.withColumn(text_column, F.when(F.col("removed").isNull(), F.col(text_column)).otherwise(left))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_column).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 _SPACE = "[\\x20\\x09-\\x0D]"
@@ -151,7 +152,7 @@ repeated AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(r
 lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
 normal AS (
   SELECT *, len(list_filter(string_split_regex(line, '{_SPACE}+'), lambda x: x <> '')) AS n,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x60\x7B-\x7F]+', ' ', 'g')) AS norm
+    trim(regexp_replace(lower(line), '[\x00-\x60\x7B-\x7F]+', ' ', 'g')) AS norm
   FROM lines),
 frequent AS (
   SELECT host, norm, min(doc_id) AS first FROM normal WHERE norm <> ''
