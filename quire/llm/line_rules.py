@@ -71,15 +71,15 @@ def measure(docs: DataFrame, text_column: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumns({"_w": words(text), "_l": worded}).withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h", _windows("_x"))
-    out = out.withColumns(
-        {
-            "n_words": F.size("_w").cast("bigint"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("bigint"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
-            "n_repeat_words": _covered("_h").cast("bigint"),
-        }
-    ).drop("_w", "_l", "_x", "_h")
+    measures = F.struct(
+        F.size("_w").cast("bigint").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("bigint").alias("n_symbols"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
+        _covered("_h").cast("bigint").alias("n_repeat_words"),
+    )
+    # from an explode of one element, so that a filter on a measure isn't pushed down with all that makes it, lambdas and all
+    out = out.withColumn("_m", F.explode(F.array(measures))).select(*docs.columns, "_m.*")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
