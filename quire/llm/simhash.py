@@ -63,11 +63,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, words: int) -> np.ndarray:
-    """`words` unsigned 64-bit integers, the first from the shingles' XXH64 with seed 42, the others from what it is mixed to."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each run of `shingle` words, as often as it stands there; of all words where they are fewer."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= shingle:
         parts = [joined]
@@ -77,12 +77,22 @@ def fingerprint(text: str | None, shingle: int, words: int) -> np.ndarray:
         starts = (ends - sizes)[: len(tokens) - shingle + 1].tolist()
         parts = [joined[s:e] for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(p, 42) for p in parts]), ">u8").astype(np.uint64)
+    return np.frombuffer(b"".join([digest(p, 42) for p in parts]), ">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int, words: int) -> np.ndarray:
+    """`words` unsigned 64-bit integers, the first from the shingles' XXH64 with seed 42, the others from what it is mixed to."""
+    return _voted(shingles(text, shingle), words)
+
+
+def _voted(hashes: np.ndarray, words: int) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     out = np.empty(words, np.uint64)
     for w in range(words):
         h = _mixed(hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if w else hashes
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        out[w] = np.packbits(2 * np.add.reduce(bits, axis=0, dtype=np.uint32) > len(parts)).view(">u8")[0]
+        out[w] = np.packbits(2 * np.add.reduce(bits, axis=0, dtype=np.uint32) > len(hashes)).view(">u8")[0]
     return out
 
 
@@ -180,13 +190,118 @@ def hexadecimal(word: Column) -> Column:
 
 
 #: For near copies with a Jaccard similarity of 0.8 or more over five-word shingles: such texts' cosine is 2 * 0.8 / 1.8, so
-#: that of 512 bits arccos(0.889) / pi * 512 = 78 differ on average, and 84 or fewer in four of five. Each of 20 segments shows
-#: a pair of 0.8 with a chance of one in ten, one of 0.85 with one in five: of pairs of 0.85 or more 98 in 100 are found.
+#: that of 512 bits arccos(0.889) / pi * 512 = 78 differ on average, and 84 or fewer in four of five. near_copies() looks up
+#: shingles, not segments: it meets every pair of 0.8, and counts it out where the fingerprints are further apart.
 NEAR_COPIES = Index(shingle=5, words=8, width=24, radii=(1,) * 20, distance=84, second_radius=1)
+#: So many of the shingles that most documents are looked up by come last in the order, if over HOT documents have them.
+MOST_COMMON = 20_000
+
+
+def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles in one order of all: two sets of Jaccard 0.8 or more share one of them. distinct and common are sorted."""
+    n = len(distinct)
+    late = np.zeros(n, bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, distinct), len(common) - 1)] == distinct
+    return np.concatenate([distinct[~late], distinct[late]])[: n + 1 - (4 * n + 4) // 5]
+
+
+def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
+    """(doc_id, content, node, f0, ..., n, keys) of docs(doc_id, content, text); node: equal for equal fingerprints and sets of shingles."""
+    words = index.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            nodes, prints, sizes, keys = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingles(text, index.shingle)
+                found, distinct = _voted(hashes, words), np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes() + distinct.tobytes()))
+                keys.append(np.append(_prefix(distinct, common), np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 1))).view(np.int64))
+                prints.append(found)
+                sizes.append(len(distinct))
+            found = np.array(prints).reshape(-1, words).view(np.int64)
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            columns = [batch.column("doc_id"), batch.column("content"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", *(f"f{w}" for w in range(words)), "n", "keys"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, keys array<bigint>")
+
+
+def _common(docs: DataFrame, index: Index) -> np.ndarray:
+    """Of the shingles that come first by their hashes alone, the most common ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            keys = [_prefix(np.unique(shingles(t, index.shingle)), np.empty(0, np.uint64)) for t in batch.column("text").to_pylist()]
+            key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
+def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, component_id) as near_duplicates(), but over links between all texts whose sets of shingles have an exact Jaccard
+    similarity of 0.8 or more, and those that meet and have fingerprints within index.distance.
+
+    Texts are looked up by the shingles that come first in one order of all (prefix filter), so no pair of 0.8 is missed. In each
+    bucket all are compared with its first text; only texts that aren't in one component by then are compared in pairs, so a
+    group of near copies costs a few comparisons per text and its links lead to the same components as all pairs would.
+    """
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("content"), F.col(text_column).alias("text"))
+    names = [f"f{w}" for w in range(index.words)]
+    prints = checkpointed(_sketches(docs, index, _common(docs, index)))
+    # keys of a node are the same in all of its rows
+    heads = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in (*names, "n", "content", "keys")))
+    heads = checkpointed(heads)
+    entries = heads.select("node", F.explode("keys").alias("key"))
+    buckets = checkpointed(entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"))
+    members = checkpointed(entries.join(buckets, "key").select("key", "node", "first"))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names))
+    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, "n", "content")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("near", apart <= index.distance)
+        met = met.where(F.col("near") | (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))).select("a", "b", "near", "a_n", "b_n", "a_content", "b_content")
+        met = checkpointed(met)
+        far = met.where("NOT near")
+        if far.isEmpty():
+            return met.select("a", "b")
+        needed = far.select(F.col("a_content").alias("content")).union(far.select("b_content")).distinct()
+        sets = docs.select("content", "text").join(needed, "content", "left_semi").dropDuplicates(["content"]).mapInArrow(held, "content bigint, held array<bigint>")
+        sets = checkpointed(sets)
+        side = lambda c: sets.select(F.col("content").alias(f"{c}_content"), F.col("held").alias(f"{c}_held"))
+        both = far.join(side("a"), "a_content").join(side("b"), "b_content")
+        same = both.where(9 * F.size(F.array_intersect("a_held", "b_held")) >= 4 * (F.col("a_n") + F.col("b_n")))
+        return checkpointed(met.where("near").select("a", "b").union(same.select("a", "b")))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            sets = [np.unique(shingles(t, index.shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *sets]))], ["content", "held"])
+
+    stars = checkpointed(members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    found = linked(stars)
+    roots = components(found)
+    of_root = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = of_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = checkpointed(of_root.join(mixed, "key", "left_semi"))
+    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))).select(F.col("node").alias("a"), "b").distinct()
+    pairs = checkpointed(pairs.join(stars, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        roots = components(found.union(linked(pairs)))
+    of_node = prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    of_node = checkpointed(of_node)
+    return of_node.join(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, index: Index = NEAR_COPIES) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id, the first of rows that share it. Rows without a doc_id stay."""
-    found = near_duplicates(docs, index)
+    found = near_copies(docs, index)
     keep = found.where("component_id = doc_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

@@ -94,6 +94,33 @@ def test_near_copies(spark):
     assert all(groups[g][0] in kept for g in groups) and caught >= 38
 
 
+def isolated_pairs(n, seed):
+    """Pairs of texts of 300 five-word shingles each: Jaccard 0.802 (267 shared), and 0.7 for one pair in three."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    rows = []
+    for g in range(n):
+        words = [word() for _ in range(304)]
+        changed = [word() if i % 5 == 2 and i < (35 if g % 3 else 57) else w for i, w in enumerate(words)]
+        rows += [(2 * g, " ".join(words), "en", "s"), (2 * g + 1, " ".join(changed), "en", "s")]
+    return rows
+
+
+def plain_jaccard(rows):
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
+    return lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+
+def test_isolated_near_copies(spark):
+    """All pairs of Jaccard 0.8 or more are linked, though many are further apart than the distance of fingerprints."""
+    rows = isolated_pairs(150, 3)
+    alike = plain_jaccard(rows)
+    pairs = {d for d in range(0, 300, 2) if alike(d, d + 1) >= 0.8}
+    assert 60 < len(pairs) < 150
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(messy.docs(spark, rows)).collect()}
+    assert all(got[d + 1] == d for d in pairs)
+
+
 # line frequency
 
 
