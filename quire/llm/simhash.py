@@ -6,10 +6,10 @@ small Hamming ball about each of its segments; what it finds there counts as a l
 complete distance is small enough. With radii as `exact_radii` gives them no pair within the
 distance is missed.
 
-A bucket with over HOT fingerprints isn't joined as it stands: its members are looked up by a second
-segment's ball as well, so that a group of near copies costs a fixed number of lookups per member and
-not the square of its size. For two segments that second key is the complete fingerprint and the
-second radius the complete distance, which loses nothing.
+With two segments, a bucket with over HOT fingerprints isn't joined as it stands: its members are looked up by the
+other segment's ball as well, so that a group of near copies costs a fixed number of lookups per member and
+not the square of its size. That second key makes the complete fingerprint and the
+second radius is the complete distance, so nothing is lost; an index where it could lose a pair is joined as it stands.
 
 Equal fingerprints are one node from the start, so copies never meet each other in a join.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import LOWER_BYTES, blocks, checkpointed
 from quire.llm.graph import components
 
-#: Fingerprints in a bucket from which its members are looked up by a second segment too.
+#: Fingerprints in a bucket from which its members are looked up by a second segment too, where that loses nothing.
 HOT = 256
 
 
@@ -150,7 +150,8 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
 
     entries = exploded(nodes, lambda k: F.array(_segment(index, k)), "key", "moved")
     probes = exploded(nodes, lambda k: _lookups(index, k, index.radii[k], False), "key", "moved")
-    hot = checkpointed(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    complete = len(index.radii) == 2 and index.second_radius >= index.distance
+    hot = checkpointed(entries.groupBy("key").count().where(F.col("count") > HOT).select("key")) if complete else None
 
     def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         right = right.select(*on, F.col("node").alias("other"))
@@ -158,7 +159,7 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
         pairs = left.join(right, on).where((F.col("node") < F.col("other")) | ((F.col("node") > F.col("other")) & F.col("moved")))
         return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
-    if hot.isEmpty():
+    if hot is None or hot.isEmpty():
         found = met(probes, entries, ["key"])
     else:
         found = met(probes.join(hot, "key", "left_anti"), entries.join(hot, "key", "left_anti"), ["key"])

@@ -121,6 +121,30 @@ def test_isolated_near_copies(spark):
     assert all(got[d + 1] == d for d in pairs)
 
 
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """A large group in the same buckets as pairs that are alike in few segments: the same links and components however HOT is set."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(300)]
+    rows = []
+    for d in range(200):
+        words = list(base)
+        for i in r.sample(range(300), 1 if d % 5 else 7):
+            words[i] = word()
+        rows.append((d, " ".join(words), "en", "s"))
+    rows += [(1000 + d, *x) for d, *x in isolated_pairs(20, 6)]
+    docs, links, groups = messy.docs(spark, rows), [], []
+    for hot in (40, 10**6):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        prints = simhash.fingerprints(docs, simhash.NEAR_COPIES).withColumnRenamed("doc_id", "node")
+        links.append({(x.a, x.b) for x in simhash.links(prints, simhash.NEAR_COPIES).collect()})
+        groups.append({x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()})
+    assert links[0] == links[1] and groups[0] == groups[1]
+    alike = plain_jaccard(rows)
+    want = roots_of([d for d, *_ in rows], [(a, b) for (a, *_), (b, *_) in combinations(rows, 2) if alike(a, b) >= 0.8])
+    assert all(groups[0][d] == groups[0][w] for d, w in want.items())
+
+
 # line frequency
 
 
