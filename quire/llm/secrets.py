@@ -4,6 +4,7 @@ The cost of guessing a value is the smallest sum, over all ways to cut it into s
 guesses each span takes: words by their rank, dates, repeats of one character, walks along keyboard
 rows or the alphabet, and brute force by character for what remains. A value that follows a
 credential word and costs STRONG or more is a secret of kind "guess"; "changeme2024" costs little and isn't one.
+A base span may end within such a value; the guess is then the whole value, and both are redacted as one.
 
 Defined results: a null text counts as empty, and an empty one has no span; spans don't depend on
 other rows, so ties and repeated rows are scanned alike; the cost takes time in proportion to the
@@ -29,6 +30,9 @@ KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is taken for a real secret.
 STRONG = 10.0
 
+#: Letters from which a value is no longer taken for a word of prose.
+LONGEST_WORD = 20
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 # the least length can stand in these two, as a run that is too short is so from any of its characters
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -99,16 +103,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]], strong: float = STRONG) -> list[tuple[int, int, str]]:
-    """Values in a credential context that no base span touches and that are hard to guess. One with neither a digit nor a sign in it is taken for prose."""
+    """Values in a credential context that are hard to guess, whole, unless base spans hold all of them. One word after "is" is taken for prose."""
     found = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= 8 and not value.isalpha() and not any(s < end and start < e for s, e, _ in base) and guess_cost(value) >= strong:
+        at = start
+        for s, e, _ in base:
+            at = e if s <= at < e else at
+        if len(value) >= 8 and at < end and not (_word(value) and not re.search("[:=]", text[m.start() : start])) and guess_cost(value) >= strong:
             found.append((start, end, "guess"))
     return found
 
 
+def _word(value: str) -> bool:
+    """Letters that can be one word of prose: not too many, and capitals at the start or throughout if at all."""
+    return value.isalpha() and len(value) <= LONGEST_WORD and (value[1:] == value[1:].lower() or value == value.upper())
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
