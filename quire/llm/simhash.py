@@ -194,8 +194,12 @@ def hexadecimal(word: Column) -> Column:
 #: that of 512 bits arccos(0.889) / pi * 512 = 78 differ on average, and 84 or fewer in four of five. near_copies() looks up
 #: shingles, not segments: it meets every pair of 0.8, and counts it out where the fingerprints are further apart.
 NEAR_COPIES = Index(shingle=5, words=8, width=24, radii=(1,) * 20, distance=84, second_radius=1)
-#: So many of the shingles that most documents are looked up by come last in the order, if over HOT documents have them.
-MOST_COMMON = 20_000
+#: Fingerprints that differ in more bits aren't of two sets of Jaccard 0.8: of 512 bits 78 to 96 differ then on average, with a
+#: standard deviation under 9. It holds for texts that repeat no shingle; others are always counted out.
+UNLIKE = 150
+#: So many of the most common shingles come last in the order, as far as over COMMON of the texts in a sample of 1 in SAMPLE
+#: have them. The order decides how many texts meet, not which are linked.
+MOST_COMMON, COMMON, SAMPLE = 200_000, 2, 4
 
 
 def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -208,12 +212,12 @@ def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
-    """(doc_id, content, node, f0, ..., n, keys) of docs(doc_id, content, text); node: equal for equal fingerprints and sets of shingles."""
+    """(doc_id, content, node, f0, ..., n, plain, keys) of docs(doc_id, content, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated."""
     words = index.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            nodes, prints, sizes, keys = [], [], [], []
+            nodes, prints, sizes, plain, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, index.shingle)
                 found, distinct = _voted(hashes, words), np.unique(hashes)
@@ -221,32 +225,34 @@ def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
                 keys.append(np.append(_prefix(distinct, common), np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 1))).view(np.int64))
                 prints.append(found)
                 sizes.append(len(distinct))
+                plain.append(len(distinct) == len(hashes))
             found = np.array(prints).reshape(-1, words).view(np.int64)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            columns = [batch.column("doc_id"), batch.column("content"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", *(f"f{w}" for w in range(words)), "n", "keys"])
+            columns = [batch.column("doc_id"), batch.column("content"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", *(f"f{w}" for w in range(words)), "n", "plain", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, plain boolean, keys array<bigint>")
 
 
 def _common(docs: DataFrame, index: Index) -> np.ndarray:
-    """Of the shingles that come first by their hashes alone, the most common ones."""
+    """The most common shingles of a sample of docs(content, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            keys = [_prefix(np.unique(shingles(t, index.shingle)), np.empty(0, np.uint64)) for t in batch.column("text").to_pylist()]
+            keys = [np.unique(shingles(t, index.shingle)) for t in batch.column("text").to_pylist()]
             key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    sample = docs.where(F.pmod("content", F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
 def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, component_id) as near_duplicates(), but over links between all texts whose sets of shingles have an exact Jaccard
-    similarity of 0.8 or more, and those that meet and have fingerprints within index.distance.
+    similarity of 0.8 or more, and those that meet, are of like size and have fingerprints within index.distance.
 
     Texts are looked up by the shingles that come first in one order of all (prefix filter), so no pair of 0.8 is missed. In each
     bucket all are compared with its first text; only texts that aren't in one component by then are compared in pairs, so a
@@ -256,17 +262,19 @@ def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "d
     names = [f"f{w}" for w in range(index.words)]
     prints = checkpointed(_sketches(docs, index, _common(docs, index)))
     # keys of a node are the same in all of its rows
-    heads = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in (*names, "n", "content", "keys")))
+    heads = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in (*names, "n", "plain", "content", "keys")))
     heads = checkpointed(heads)
-    entries = heads.select("node", F.explode("keys").alias("key"))
-    buckets = checkpointed(entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"))
-    members = checkpointed(entries.join(buckets, "key").select("key", "node", "first"))
+    entries = heads.select("node", "n", F.explode("keys").alias("key"))
+    buckets = checkpointed(entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node < last").select("key", "first.*").toDF("key", "first", "first_n"))
+    members = checkpointed(entries.join(buckets, "key").select("key", "node", "n", "first", "first_n"))
+    # texts of which one has under 0.8 of the other's shingles can't be alike
+    sized = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names))
-    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, "n", "content")))
+    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, "n", "plain", "content")))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("near", apart <= index.distance)
-        met = met.where(F.col("near") | (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))).select("a", "b", "near", "a_n", "b_n", "a_content", "b_content")
+        met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("apart", apart).withColumn("near", F.col("apart") <= index.distance)
+        met = met.where((F.col("apart") <= UNLIKE) | ~F.col("a_plain") | ~F.col("b_plain")).select("a", "b", "near", "a_n", "b_n", "a_content", "b_content")
         met = checkpointed(met)
         far = met.where("NOT near")
         if far.isEmpty():
@@ -285,14 +293,14 @@ def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "d
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *sets]))], ["content", "held"])
 
-    stars = checkpointed(members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    stars = checkpointed(members.where((F.col("node") > F.col("first")) & sized("n", "first_n")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     found = linked(stars)
     roots = components(found)
-    of_root = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    of_root = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = of_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rest = checkpointed(of_root.join(mixed, "key", "left_semi"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))).select(F.col("node").alias("a"), "b").distinct()
+    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
+    pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & sized("n", "b_n")).select(F.col("node").alias("a"), "b").distinct()
     pairs = checkpointed(pairs.join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         roots = components(found.union(linked(pairs)))
