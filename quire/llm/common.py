@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,55 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors see. A temporary one only where none is set and all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df written as a Parquet table to the shared folder and read back: its lineage is cut, later readers take the columns they need, and its size is known. It goes when the driver ends, or by discard()."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    files, path = _file_system(spark, folder)
+    files.deleteOnExit(path)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of checkpointed() that nothing reads any more."""
+    for table in tables:
+        files, path = _file_system(table.sparkSession, table._folder)
+        files.delete(path, True)
+
+
+#: A key is hot from this share of all rows on, which no more keys can have.
+HOT_KEYS = 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], n: str) -> DataFrame:
+    """The inner join of rows with table, which has each key once and in column n how many rows have it, or more.
+
+    Hot keys are joined by broadcast, so that their rows stay where they are; there are fewer than HOT_KEYS of them, as their n adds up to no
+    more than the total. All others are shuffled. Both sides are read more than once.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(n) * HOT_KEYS > total))
+    cold = table.where(F.col(n) * HOT_KEYS <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_BYTES, blocks, checkpointed
+from quire.llm.common import LOWER_BYTES, blocks, checkpointed, spread_join
 from quire.llm.graph import components
 
 #: Fingerprints in a bucket from which its members are looked up by a second segment too, where that loses nothing.
@@ -176,34 +176,32 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
 def near_duplicates(docs: DataFrame, index: Index = Index(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, f0, ..., component_id): component_id is the smallest doc_id that links reach."""
     names = [f"f{w}" for w in range(index.words)]
-    prints = checkpointed(fingerprints(docs, index, id_column, text_column))
     node = F.col("f0") if index.words == 1 else F.xxhash64(*names)
-    nodes = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).select(node.alias("node"), *names, "first"))
-    roots = components(links(nodes.drop("first"), index))
-    of = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = checkpointed(of.join(least, "root").select("node", "component_id"))
-    return prints.withColumn("node", node).join(of, "node").select("doc_id", *names, "component_id")
+    prints = checkpointed(fingerprints(docs, index, id_column, text_column).withColumn("node", node))
+    nodes = checkpointed(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(nodes.drop("first", "n"), index))
+    of = checkpointed(nodes.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
+    least = checkpointed(of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes")))
+    of = checkpointed(spread_join(of, least, ["root"], "nodes").select("node", "n", "component_id"))
+    return spread_join(prints, of, ["node"], "n").select("doc_id", *names, "component_id")
 
 
 def hexadecimal(word: Column) -> Column:
     return F.lower(F.lpad(F.hex(word), 16, "0"))
 
 
-#: For near copies with a Jaccard similarity of 0.8 or more over five-word shingles: such texts' cosine is 2 * 0.8 / 1.8, so
-#: that of 512 bits arccos(0.889) / pi * 512 = 78 differ on average, and 84 or fewer in four of five. near_copies() looks up
-#: shingles, not segments: it meets every pair of 0.8, and counts it out where the fingerprints are further apart.
-NEAR_COPIES = Index(shingle=5, words=8, width=24, radii=(1,) * 20, distance=84, second_radius=1)
-#: Fingerprints that differ in more bits aren't of two sets of Jaccard 0.8: of 512 bits 78 to 96 differ then on average, with a
-#: standard deviation under 9. It holds for texts that repeat no shingle; others are always counted out.
-UNLIKE = 150
+#: For near copies with a Jaccard similarity of 0.8 or more over five-word shingles. Four segments of radius 1 miss no pair within 7 of the
+#: first 128 bits and few of Jaccard 0.97; near_copies() finds the rest by shingles. Fingerprints that differ in more than `distance` of 512 bits
+#: aren't of two sets of Jaccard 0.8: 78 to 96 bits differ then on average, with a standard deviation under 9. It holds for texts that repeat no
+#: shingle; others are always counted out.
+NEAR_COPIES = Index(shingle=5, words=8, width=32, radii=(1,) * 4, distance=150)
 #: So many of the most common shingles come last in the order, as far as over COMMON of the texts in a sample of 1 in SAMPLE
 #: have them. The order decides how many texts meet, not which are linked.
-MOST_COMMON, COMMON, SAMPLE = 200_000, 2, 4
+MOST_COMMON, COMMON, SAMPLE = 200_000, 2, 8
 
 
 def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in one order of all: two sets of Jaccard 0.8 or more share one of them. distinct and common are sorted."""
+    """The first shingles in one order of all: two sets of Jaccard 0.8 or more share one of them, among the first ninth of the smaller set. distinct and common are sorted."""
     n = len(distinct)
     late = np.zeros(n, bool)
     if len(common):
@@ -212,7 +210,7 @@ def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
-    """(doc_id, content, node, f0, ..., n, plain, keys) of docs(doc_id, content, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated."""
+    """(row, doc_id, content, node, f0, ..., n, plain, keys) of docs(row, doc_id, content, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated."""
     words = index.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +220,21 @@ def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
                 hashes = shingles(text, index.shingle)
                 found, distinct = _voted(hashes, words), np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes() + distinct.tobytes()))
-                keys.append(np.append(_prefix(distinct, common), np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 1))).view(np.int64))
+                keys.append(_prefix(distinct, common).view(np.int64))
                 prints.append(found)
                 sizes.append(len(distinct))
                 plain.append(len(distinct) == len(hashes))
             found = np.array(prints).reshape(-1, words).view(np.int64)
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            columns = [batch.column("doc_id"), batch.column("content"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", *(f"f{w}" for w in range(words)), "n", "plain", "keys"])
+            columns = [batch.column("row"), batch.column("doc_id"), batch.column("content"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "content", "node", *(f"f{w}" for w in range(words)), "n", "plain", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, plain boolean, keys array<bigint>")
+    return docs.mapInArrow(run, f"row string, doc_id {kind}, content bigint, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, plain boolean, keys array<bigint>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *arrays]))
 
 
 def _common(docs: DataFrame, index: Index) -> np.ndarray:
@@ -250,67 +252,108 @@ def _common(docs: DataFrame, index: Index) -> np.ndarray:
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
-def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, component_id) as near_duplicates(), but over links between all texts whose sets of shingles have an exact Jaccard
-    similarity of 0.8 or more, and those that meet, are of like size and have fingerprints within index.distance.
+def _row(id_column: str, text_column: str) -> Column:
+    """What rows of equal id and text, and no others, have in common."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return F.md5(F.concat(part(id_column), F.lit("\n"), part(text_column)).cast("binary"))
 
-    Texts are looked up by the shingles that come first in one order of all (prefix filter), so no pair of 0.8 is missed. In each
-    bucket all are compared with its first text; only texts that aren't in one component by then are compared in pairs, so a
-    group of near copies costs a few comparisons per text and its links lead to the same components as all pairs would.
-    """
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("content"), F.col(text_column).alias("text"))
+
+def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) -> DataFrame:
+    """(row, doc_id, root): the component of each row of docs, as near_copies() links them; a table."""
+    docs = docs.select(_row(id_column, text_column).alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("content"), F.col(text_column).alias("text"))
     names = [f"f{w}" for w in range(index.words)]
     prints = checkpointed(_sketches(docs, index, _common(docs, index)))
-    # keys of a node are the same in all of its rows
-    heads = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in (*names, "n", "plain", "content", "keys")))
-    heads = checkpointed(heads)
-    entries = heads.select("node", "n", F.explode("keys").alias("key"))
-    buckets = checkpointed(entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node < last").select("key", "first.*").toDF("key", "first", "first_n"))
-    members = checkpointed(entries.join(buckets, "key").select("key", "node", "n", "first", "first_n"))
-    # texts of which one has under 0.8 of the other's shingles can't be alike
-    sized = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+    # all rows of a node have the same shingles; row: the one whose text stands for it
+    heads = checkpointed(prints.groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in (*names, "n", "plain"))))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names))
-    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, "n", "plain", "content")))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("apart", apart).withColumn("near", F.col("apart") <= index.distance)
-        met = met.where((F.col("apart") <= UNLIKE) | ~F.col("a_plain") | ~F.col("b_plain")).select("a", "b", "near", "a_n", "b_n", "a_content", "b_content")
-        met = checkpointed(met)
-        far = met.where("NOT near")
-        if far.isEmpty():
-            return met.select("a", "b")
-        needed = far.select(F.col("a_content").alias("content")).union(far.select("b_content")).distinct()
-        sets = docs.select("content", "text").join(needed, "content", "left_semi").dropDuplicates(["content"]).mapInArrow(held, "content bigint, held array<bigint>")
-        sets = checkpointed(sets)
-        side = lambda c: sets.select(F.col("content").alias(f"{c}_content"), F.col("held").alias(f"{c}_held"))
-        both = far.join(side("a"), "a_content").join(side("b"), "b_content")
-        same = both.where(9 * F.size(F.array_intersect("a_held", "b_held")) >= 4 * (F.col("a_n") + F.col("b_n")))
-        return checkpointed(met.where("near").select("a", "b").union(same.select("a", "b")))
+    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, "n", "plain", "row")))
+    # two sets that share m of x + y - m shingles are alike when 9 m >= 4 (x + y); m is at most the smaller of both
+    enough = lambda m, x, y: 9 * m >= 4 * (x + y)
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """pairs(a, b) with both sides' rows and sizes and their complete distance, where that and the sizes allow it."""
+        met = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("apart", apart).where(enough(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n")))
+        return met.where((F.col("apart") <= index.distance) | ~F.col("a_plain") | ~F.col("b_plain")).select("a", "b", "a_n", "b_n", "a_row", "b_row", "apart")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = [np.unique(shingles(t, index.shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *sets]))], ["content", "held"])
-
-    stars = checkpointed(members.where((F.col("node") > F.col("first")) & sized("n", "first_n")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    found = linked(stars)
-    roots = components(found)
-    of_root = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = of_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = checkpointed(of_root.join(mixed, "key", "left_semi"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
-    pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & sized("n", "b_n")).select(F.col("node").alias("a"), "b").distinct()
-    pairs = checkpointed(pairs.join(stars, ["a", "b"], "left_anti"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(sets)], ["row", "held"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the measured pairs, a table, whose sets have a Jaccard similarity of 0.8 or more, counted out."""
+
+        def sets(c: str) -> DataFrame:
+            texts = docs.select("row", "text").join(checkpointed(pairs.select(F.col(f"{c}_row").alias("row")).distinct()), "row", "left_semi")
+            return texts.mapInArrow(held, "row string, held array<bigint>").groupBy("row").agg(F.first("held").alias(f"{c}_held")).withColumnRenamed("row", f"{c}_row")
+
+        # b first: a is the first of a bucket as a rule, and one for many
+        both = pairs.join(sets("b"), "b_row").join(sets("a"), "a_row")
+        return checkpointed(both.where(enough(F.size(F.array_intersect("a_held", "b_held")), F.col("a_n"), F.col("b_n"))).select("a", "b"))
+
+    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # by segments: the first text of each bucket that a text looks up
+    firsts = _looked_up(heads, index, False).groupBy("key").agg(F.min("node").alias("a"))
+    stars = _looked_up(heads, index, True).join(firsts, "key").select("a", F.col("node").alias("b"))
+    # by shingles: a bucket holds the texts that have one among their first, and is led by the first of them that has it in its first ninth
+    entries = prints.select("node", "n", F.posexplode("keys").alias("at", "key")).withColumn("early", 9 * F.col("at") <= F.col("n"))
+    leads = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("early"), F.struct("node", "n", "at"))).alias("lead"))
+    members = checkpointed(entries.join(leads.where("low < high AND lead IS NOT NULL").select("key", "lead"), "key").groupBy("key", "node", "n", "at", "early").agg(F.first("lead").alias("lead")))
+    # what both have from the shared shingle on is all that they can share, if it's the first they share
+    reach = lambda x, y: enough(F.least(x["n"] - x["at"], y["n"] - y["at"]), x["n"], y["n"])
+    whole = F.struct("n", "at")
+    stars = stars.union(members.where(reach(whole, F.col("lead"))).select("lead.node", "node")).where("a <> b").distinct()
+    # each text is counted out with the nearest of them, then what isn't in one component by then in pairs
+    nearest = checkpointed(measured(stars).groupBy("b").agg(F.min_by(F.struct("a", "a_n", "b_n", "a_row", "b_row"), F.struct("apart", "a")).alias("s")).select("b", "s.*"))
+    found = alike(nearest)
+    members = rooted(members.select("key", "node", "n", "at", "early"), found)
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = checkpointed(members.join(mixed, "key", "left_semi"))
+    small = rest.where("early").select("key", F.struct("node", "n", "at", "root").alias("y"))
+    pairs = rest.select("key", F.struct("node", "n", "at", "root").alias("x")).join(small, "key").where((F.col("x.root") != F.col("y.root")) & (F.col("x.n") >= F.col("y.n")) & reach(F.col("x"), F.col("y")))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = checkpointed(measured(pairs))
     if not pairs.isEmpty():
-        roots = components(found.union(linked(pairs)))
-    of_node = prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    of_node = checkpointed(of_node)
-    return of_node.join(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+        found = found.union(alike(pairs))
+    roots = checkpointed(rooted(heads.select("node", "rows"), found))
+    return checkpointed(spread_join(prints.select("row", "doc_id", "node"), roots, ["node"], "rows").select("row", "doc_id", "root"))
+
+
+def _looked_up(nodes: DataFrame, index: Index, near: bool) -> DataFrame:
+    """(node, key): each segment's own value as a key, and with near those about it too; a pair of unlike values meets from the smaller one only."""
+    def keys(k: int) -> Column:
+        values = _lookups(index, k, index.radii[k], False) if near else F.array(_segment(index, k))
+        return F.transform(values, lambda v: v + F.lit(k << 40))
+
+    return nodes.select("node", F.explode(F.concat(*(keys(k) for k in range(len(index.radii))))).alias("key"))
+
+
+def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, component_id) as near_duplicates(), over links between all texts whose sets of shingles have an exact Jaccard similarity of 0.8 or more, and no others.
+
+    Fingerprints find the close copies: each text looks up the Hamming balls about its segments, and meets the first text
+    of each bucket it finds. No radius that can be looked up reaches all pairs of 0.8 (they differ in
+    78 of 512 bits on average), so texts meet by the shingles that come first in one order of all, too (prefix and positional filter),
+    which every pair of 0.8 does. Each text is compared with the nearest of the first texts it met, by the complete distance, and counted
+    out exactly. Only texts that share a bucket and aren't in one component by then are compared in pairs, where sizes, places and the complete
+    distance allow it. So a group of near copies costs few comparisons per text, and leads to the same components as all its pairs would.
+    """
+    rows = _grouped(docs, index, id_column, text_column)
+    least = checkpointed(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return spread_join(rows, least, ["root"], "n").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, index: Index = NEAR_COPIES) -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest doc_id, the first of rows that share it. Rows without a doc_id stay."""
-    found = near_copies(docs, index)
-    keep = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each group of near copies: that of the smallest doc_id, a null id last, and the least hash of id and text where two texts share it.
+
+    Rows of one id with unlike texts are in groups of their own. Of rows that are equal in id and text one stays, the one whose other columns have the least hash.
+    """
+    rows = _grouped(docs, index, "doc_id", "text")
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row")
+    keep = checkpointed(keep.join(rows.groupBy("row").agg(F.count(F.lit(1)).alias("times")), "row"))
+    whole = docs.select(_row("doc_id", "text").alias("row"), F.xxhash64(*docs.columns).alias("hash"), F.struct(*docs.columns).alias("of"))
+    once = whole.join(keep.where("times = 1").select("row"), "row", "left_semi").select("of")
+    several = whole.join(keep.where("times > 1").select("row"), "row", "left_semi").groupBy("row").agg(F.min_by("of", "hash").alias("of")).select("of")
+    return once.union(several).select("of.*")

@@ -1,7 +1,7 @@
 """Operators that look at all documents, against plain versions; trained models on held-out rows; the pipeline."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import messy
@@ -106,43 +106,64 @@ def isolated_pairs(n, seed):
     return rows
 
 
-def plain_jaccard(rows):
-    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
-    return lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-
-
 def test_isolated_near_copies(spark):
     """All pairs of Jaccard 0.8 or more are linked, though many are further apart than the distance of fingerprints."""
     rows = isolated_pairs(150, 3)
-    alike = plain_jaccard(rows)
-    pairs = {d for d in range(0, 300, 2) if alike(d, d + 1) >= 0.8}
-    assert 60 < len(pairs) < 150
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(messy.docs(spark, rows)).collect()}
-    assert all(got[d + 1] == d for d in pairs)
+    want = plain_groups(rows)
+    assert 60 < sum(want[d + 1] == d for d in range(0, 300, 2)) < 150
+    assert {x.doc_id: x.component_id for x in simhash.near_copies(messy.docs(spark, rows)).collect()} == want
 
 
-def test_hot_buckets_lose_no_link(spark, monkeypatch):
-    """A large group in the same buckets as pairs that are alike in few segments: the same links and components however HOT is set."""
+def plain_groups(rows, least=0.8):
+    """Doc -> smallest doc that links of an exact Jaccard similarity reach, by all pairs that share a shingle."""
+    sets, having = {}, defaultdict(list)
+    for d, t, *_ in rows:
+        w = (t or "").encode().translate(simhash.LOWER_BYTES).split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    links = set()
+    for d, x in sets.items():
+        shared = Counter(e for g in x for e in having[g])
+        links |= {(e, d) for e, n in shared.items() if n >= least * (len(x) + len(sets[e]) - n)}
+        for g in x:
+            having[g].append(d)
+    return roots_of(sets, links)
+
+
+def test_components_are_those_of_all_pairs(spark):
+    """A large group of near copies, some of them far from most, pairs that are alike in few segments, and pairs of under 0.8."""
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
     base = [word() for _ in range(300)]
     rows = []
     for d in range(200):
         words = list(base)
-        for i in r.sample(range(300), 1 if d % 5 else 7):
+        for i in r.sample(range(300), 1 if d % 5 else r.randrange(5, 14)):
             words[i] = word()
         rows.append((d, " ".join(words), "en", "s"))
-    rows += [(1000 + d, *x) for d, *x in isolated_pairs(20, 6)]
-    docs, links, groups = messy.docs(spark, rows), [], []
-    for hot in (40, 10**6):
-        monkeypatch.setattr(simhash, "HOT", hot)
-        prints = simhash.fingerprints(docs, simhash.NEAR_COPIES).withColumnRenamed("doc_id", "node")
-        links.append({(x.a, x.b) for x in simhash.links(prints, simhash.NEAR_COPIES).collect()})
-        groups.append({x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()})
-    assert links[0] == links[1] and groups[0] == groups[1]
-    alike = plain_jaccard(rows)
-    want = roots_of([d for d, *_ in rows], [(a, b) for (a, *_), (b, *_) in combinations(rows, 2) if alike(a, b) >= 0.8])
-    assert all(groups[0][d] == groups[0][w] for d, w in want.items())
+    rows += [(1000 + d, *x) for d, *x in isolated_pairs(60, 6)]
+    rows += [(2000 + d, " ".join(base[:150] + [word() for _ in range(40)]), "en", "s") for d in range(60)]  # a passage in common
+    rows += [(3000 + d, "One two three FOUR five" + " six" * (d // 2), "en", "s") for d in range(40)]  # few and repeated shingles
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(messy.docs(spark, rows)).collect()}
+    assert got == plain_groups(rows) and len(set(got.values())) > 100
+
+
+def test_recall_on_documents(spark):
+    """All documents whose id is divisible by 20, against all rows."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    want = plain_groups([tuple(x) for x in docs.collect()])
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
+    assert all(got[d] == want[d] for d in want if d % 20 == 0) and got == want
+
+
+def test_one_of_each(spark):
+    """Ties: rows of one id with unlike texts, and rows of one id and text."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1), "en", "a"), (1, text(2), "en", "a"), (1, text(2), "de", "a"), (1, text(2), "de", "a"), (2, text(1) + " end", "en", "a"), (None, text(3), "en", "a"), (9, text(3), "en", "a"), (None, text(4), None, None)]
+    got = [simhash.one_of_each(messy.docs(spark, rows).repartition(n)).collect() for n in (1, 3)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    assert sorted((x.doc_id or 0, x.text) for x in got[0]) == [(0, text(4)), (1, text(1)), (1, text(2)), (9, text(3))]
+    hot = [(d, text(5 + d % 2) + " end" * (d % 3), "en", "a") for d in range(3000)]
+    assert sorted(x.doc_id for x in simhash.one_of_each(messy.docs(spark, hot)).collect()) == [0, 1]
 
 
 # line frequency
@@ -282,7 +303,7 @@ def test_pipeline(spark):
         left = len(text.split())
         if n >= 10 and 100 * repeated <= 20 * n and not (gone and (left < 10 or left < 0.3 * n)):
             kept.append((r.doc_id, text))
-    roots = plain_near(kept, simhash.NEAR_COPIES)
+    roots = plain_groups(kept)
     kept = [(d, t) for d, t in kept if roots[d] == d]
     from quire.llm.secrets import redact_text
 
