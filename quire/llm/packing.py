@@ -1,13 +1,16 @@
 """Lexical retrieval packing.
 
-Documents become sequences of WINDOW tokens. Shards are runs of up to SHARD_DOCUMENTS rows or SHARD_TOKENS tokens of an
-input partition; each has a BM25 inverted index over token ids of its own, so nothing is shuffled and what a task holds is bounded.
-A seed document opens a window; the index returns its unused neighbours, best first, and those that fit
+Documents become sequences of WINDOW tokens. They are sharded by content: each has a key of KEYS min-hashes over its distinct token ids,
+rarer ids of the vocabulary being likelier to be the least, and runs of up to SHARD_DOCUMENTS rows or SHARD_TOKENS tokens in the order of the
+keys are a shard, so that documents with words in common, copies above all, stand together wherever they came from. Each shard has
+a BM25 inverted index over token ids, with document frequencies and the mean length of the whole corpus. A seed document opens a
+window; the index scores all of the shard by all of the seed's terms and returns its unused neighbours, best first, and those that fit
 whole go in; the best that doesn't fit is cut to fill the window, and its rest is the seed of the next. Only where no neighbour
 is left the next unused document in order comes in. A window that is open at the end of a shard goes on in the next, and what
 is open at the end of a partition is cut into sequences of powers of two, which need no padding.
 
-Sequence ids hold the partition and a count within it, so a partition that is computed again gives the same ids.
+Texts are tokenised once, into a table; ids and keys are what is shuffled, by ranges of (key, place), so that documents of one key, however
+many, are split. Sequence ids hold the partition and a count within it; a partition that is computed again gives the same.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows are packed each; ids may be
 null or tie; an empty table gives no sequence; a document longer than a shard is a shard of its own.
@@ -26,13 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import blocks
+from quire.llm.common import blocks, checkpointed
 
 WINDOW = 1024
-SHARD_DOCUMENTS, SHARD_TOKENS = 2048, 1_500_000
+SHARD_DOCUMENTS, SHARD_TOKENS = 512, 1_000_000
 END = 0
-#: Terms of a seed that are looked up, the rarest in the shard first.
-QUERY_TERMS = 16
+VOCABULARY, KEYS = 1 << 16, 3
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 
@@ -58,36 +60,53 @@ def load(json_path: str, ranks_path: str, pattern: str) -> Tokenizer:
     return Tokenizer(json_path, ranks_path, pattern)
 
 
+@lru_cache(1)
+def _draws() -> np.ndarray:
+    """(KEYS, VOCABULARY): an exponential draw for each id, at a rate that grows with the id, as a vocabulary's ids go from common to rare."""
+    uniform = np.random.default_rng(2).random((KEYS, VOCABULARY))
+    return -np.log(1 - uniform) / np.log2(2 + np.arange(VOCABULARY))
+
+
+def shard_key(distinct: np.ndarray) -> int:
+    """The ids of the least draw, the first of KEYS in the highest bits."""
+    key = 0
+    for draws in _draws():
+        key = key << 16 | int(distinct[draws[distinct].argmin()])
+    return key
+
+
+class Corpus:
+    """What an index needs to know of the whole corpus: documents, documents with each id, tokens in all."""
+
+    def __init__(self, documents: int, frequencies: np.ndarray, tokens: int) -> None:
+        self.mean = max(1, tokens) / max(1, documents)
+        self.idf = np.log1p((documents - frequencies + 0.5) / (frequencies + 0.5))
+
+
 class Shard:
     """A BM25 inverted index over the token ids of some documents."""
 
-    def __init__(self, ids: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus) -> None:
         n = len(ids)
         sizes = np.fromiter(map(len, ids), np.int64, n)
         tokens, doc = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(n), sizes)
         keys, tf = np.unique(tokens << 16 | doc, return_counts=True)
         term, self.doc = keys >> 16, keys & 0xFFFF
-        begin = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-        df = np.diff(np.append(begin, len(term)))
-        of = np.repeat(np.arange(len(begin)), df)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = idf[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes / sizes.mean())[self.doc]))
-        self.begin, self.end = begin.tolist(), (begin + df).tolist()
-        # each document's rarest terms that another document has too
-        shared = np.flatnonzero(df[of] > 1)
-        order = np.sort(self.doc[shared] << 40 | df[of[shared]] << 24 | of[shared])
-        owner = order >> 40
-        first = np.searchsorted(owner, np.arange(n + 1))
-        self.query = [order[a : min(b, a + QUERY_TERMS)] & 0xFFFFFF for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-        self.scores = np.zeros(n)
+        self.weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes / corpus.mean)[self.doc]))
+        self.begin = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        self.df = np.diff(np.append(self.begin, len(term)))
+        of = np.repeat(np.arange(len(self.begin)), self.df)
+        # each document's terms that another document has too
+        shared = np.flatnonzero(self.df[of] > 1)
+        order = shared[np.argsort(self.doc[shared], kind="stable")]
+        self.terms, self.first = of[order], np.searchsorted(self.doc[order], np.arange(n + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """Unused documents that share a term with the seed, best first; ties in order."""
-        scores = self.scores
-        scores[:] = 0
-        for t in self.query[seed].tolist():
-            a, b = self.begin[t], self.end[t]
-            scores[self.doc[a:b]] += self.weight[a:b]
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        n = self.df[terms]
+        at = np.arange(n.sum()) + np.repeat(self.begin[terms] - (np.cumsum(n) - n), n)
+        scores = np.bincount(self.doc[at], self.weight[at], len(used))
         scores[used] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")].tolist()
@@ -114,8 +133,8 @@ class Packer:
         if self.fill == WINDOW:
             yield from self.pieces()
 
-    def pack(self, rows: list, ids: list[np.ndarray]) -> Iterator[tuple]:
-        index, used, sizes = Shard(ids), np.zeros(len(ids), bool), list(map(len, ids))
+    def pack(self, rows: list, ids: list[np.ndarray], corpus: Corpus) -> Iterator[tuple]:
+        index, used, sizes = Shard(ids, corpus), np.zeros(len(ids), bool), list(map(len, ids))
         cursor, seed, start = 0, None, 0  # seed: the document being laid down, from start on
         while True:
             if seed is None:
@@ -166,12 +185,49 @@ class Packer:
             yield from self.pieces()
 
 
+def tokenised(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, n, key, place, counts), a table: for each of docs(doc_id, text) its ids as 16-bit integers; for each task a row without ids, with the number of its documents that have each id."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, counts, place, doc_type = load(json_path, ranks_path, pattern), np.zeros(VOCABULARY, np.int32), 0, None
+        begin = (c.partitionId() if (c := TaskContext.get()) else 0) << 36
+        names = ["doc_id", "ids", "n", "key", "place", "counts"]
+        for batch in blocks(batches):
+            doc_type, ids, keys = batch.column("doc_id").type, [], []
+            for text in batch.column("text").to_pylist():
+                ids.append(tokenizer.encode(text or ""))
+                seen = np.unique(ids[-1])
+                counts[seen] += 1
+                keys.append(shard_key(seen))
+            n = len(ids)
+            columns = [batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(map(len, ids), pa.int64()), pa.array(keys, pa.int64()), pa.array(np.arange(n) + (begin + place)), pa.nulls(n, pa.list_(pa.int32()))]
+            place += n
+            yield pa.RecordBatch.from_arrays(columns, names)
+        if place:
+            nothing = [pa.nulls(1, t) for t in (doc_type, pa.binary(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([counts.tolist()], pa.list_(pa.int32()))], names)
+
+    return checkpointed(docs.mapInArrow(run, f"doc_id {kind}, ids binary, n bigint, key bigint, place bigint, counts array<int>"))
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    """From tokenised(); no more rows come to the driver than the vocabulary has ids."""
+    n, tokens = rows.where("ids IS NOT NULL").agg(F.count(F.lit(1)), F.sum("n")).first()
+    frequencies = np.zeros(VOCABULARY, np.int64)
+    counts = rows.where("ids IS NULL").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+    for id_, count in counts.collect():
+        frequencies[id_] = count
+    return Corpus(n, frequencies, tokens or 0)
+
+
 def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and their ids if wanted."""
-    kind = dict(docs.dtypes)[id_column]
+    rows = tokenised(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), json_path, ranks_path, pattern)
+    corpus, kind = corpus_of(rows), dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = load(json_path, ranks_path, pattern), Packer()
+        packer = Packer()
         partition = (c.partitionId() if (c := TaskContext.get()) else 0) << 40
 
         def given(pieces: Iterator[tuple]) -> pa.RecordBatch:
@@ -192,19 +248,20 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_colu
             return pa.RecordBatch.from_pydict(columns)
 
         shard, tokens, doc_type = [], 0, pa.int64()
-        for batch in blocks(batches):
+        for batch in batches:
             doc_type = batch.column("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = tokenizer.encode(text or "")
+            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = np.frombuffer(data, np.uint16)
                 shard.append((doc, ids))
                 tokens += len(ids)
                 if len(shard) == SHARD_DOCUMENTS or tokens >= SHARD_TOKENS:
-                    yield given(packer.pack(shard, [r[1] for r in shard]))
+                    yield given(packer.pack(shard, [r[1] for r in shard], corpus))
                     shard, tokens = [], 0
         if shard:
-            yield given(packer.pack(shard, [r[1] for r in shard]))
+            yield given(packer.pack(shard, [r[1] for r in shard], corpus))
         if packer.open:
             yield given(packer.close())
 
     columns = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, columns)
+    ordered = rows.where("ids IS NOT NULL").select("doc_id", "ids", "key", "place").repartitionByRange("key", "place").sortWithinPartitions("key", "place")
+    return ordered.select("doc_id", "ids").mapInArrow(run, columns)

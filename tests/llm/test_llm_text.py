@@ -258,15 +258,59 @@ def test_licenses_query(spark, same_as_sql):
     same_as_sql(entry.queries()["op4_licenses"](spark, SF), licenses.SQL)
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+LGPL = """# This library is free software; you can redistribute it and/or modify
+# it under the terms of the GNU Lesser General Public License as published by
+# the Free Software Foundation; either version 2.1 of the License, or
+# (at your option) any later version."""
+
+
+def plain_matches(text, templates=licenses.TEMPLATES):
+    """The labels and the largest share, block by block and template by template."""
+    words = [w for w in re.split("[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    labels, best = set(), 0.0
+    for step in {licenses.block_step(t) for _, t in templates}:
+        for i in range(0, len(words), step):
+            block, found = set(words[i : i + 2 * step]), []
+            for label, t in templates:
+                t_words = set(t.split())
+                if licenses.block_step(t) == step and len(block & t_words) >= licenses.CONTAINMENT * len(t_words) - 1e-9:
+                    found.append((len(block & t_words) / len(t_words), label))
+            labels |= {label for share, label in found if share == max(found)[0]}
+            best = max([best, *(share for share, _ in found)])
+    return labels, best
+
+
 def test_licenses(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal without restriction"
-    rows = [(1, f"intro\n{mit}\nend", "en", "s"), (2, "MIT license. The MIT License mit LICENSE", "en", "s"), (3, "permission is hereby granted", "en", "s"), (4, "Licensed under CC-BY-NC 4.0", "en", "s"), *((100 + i, *r[1:]) for i, r in enumerate(messy.ROWS))]
-    got = {r.doc_id: r for r in licenses.scan(messy.docs(spark, rows)).collect()}
-    assert got[1].labels == "mit" and got[1].n_base == 0 and got[1].first_word is None and 0.8 <= got[1].score < 1
+    rows = [(1, f"intro\n{MIT}\nend", "en", "s"), (2, "MIT license. The MIT License mit LICENSE", "en", "s"), (3, "permission is hereby granted", "en", "s"), (4, "Licensed under CC-BY-NC 4.0", "en", "s"), (5, "x " * 41 + BSD, "en", "s"), (6, LGPL, "en", "s"), (7, "Licensed under CC BY-SA 4.0", "en", "s")]
+    r = random.Random(7)
+    words = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    parts = [*words[:60], *(t for _, t in licenses.TEMPLATES), "x", "\n"]
+    for i in range(150):
+        cut = lambda t: " ".join(w for w in t.split() if r.random() > 0.08)
+        rows.append((1000 + i, " ".join(cut(r.choice(parts)) for _ in range(r.randrange(30))), "en", "s"))
+    rows += [(100 + i, *x[1:]) for i, x in enumerate(messy.ROWS)] + [(200, MIT, "en", "s"), (200, MIT, "en", "s")]
+    got = {x.doc_id: x for x in licenses.scan(messy.docs(spark, rows)).collect()}
+    assert (got[1].labels, got[1].n_base, got[1].first_word, got[1].score) == ("mit", 0, None, 1.0)
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels, got[2].score) == (3, 0, 5, "mit", 1.0)
-    assert got[3].labels == "" and got[3].score == 0 and got[4].labels == "cc-by,cc-by-nc"
-    assert len(got) == 14 and got[100].n_words == 0
+    assert got[3].labels == "" and got[3].score == 0 and got[4].labels == "cc-by,cc-by-nc" and got[5].labels == "bsd" and got[6].labels == "lgpl" and got[7].labels == "cc-by,cc-by-sa"
+    for d, t, *_ in rows:
+        labels, share = plain_matches(t)
+        assert set(got[d].labels.split(",")) - {""} == labels | set(got[d].base_labels.split(",")) - {""}
+        assert got[d].score == (1.0 if got[d].n_base else share)
+    assert sum(got[1000 + i].labels != got[1000 + i].base_labels for i in range(150)) > 50 and got[100].n_words == 0
     assert licenses.scan(messy.empty(spark)).count() == 0
+    assert {x.labels for x in licenses.scan(messy.docs(spark, rows[:7]), templates=()).collect()} == {"", "mit", "cc-by"}
 
 
 # fingerprints
@@ -383,19 +427,38 @@ def test_packing_messy(spark, file_tokenizer):
     assert packing.pack(messy.empty(spark), *args).count() == 0
 
 
+def plain_corpus(ids):
+    frequencies = np.zeros(packing.VOCABULARY, np.int64)
+    for i in ids:
+        frequencies[np.unique(i)] += 1
+    return packing.Corpus(len(ids), frequencies, sum(map(len, ids)))
+
+
+def plain_scores(seed, shard, corpus):
+    """BM25 of each document of the shard for all terms of the seed, posting by posting."""
+    n, df, mean = len(corpus), {}, sum(map(len, corpus)) / len(corpus)
+    for d in corpus:
+        for t in set(d.tolist()):
+            df[t] = df.get(t, 0) + 1
+    scores = [0.0] * len(shard)
+    for t in sorted(set(seed.tolist())):
+        for i, d in enumerate(shard):
+            if tf := d.tolist().count(t):
+                scores[i] += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+    return scores
+
+
+def random_ids(r, n, most=40):
+    return [r.integers(1, 60, r.integers(1, most)).astype(np.uint16) for _ in range(n)]
+
+
 def test_neighbours_are_scored_as_bm25():
     r = np.random.default_rng(1)
-    ids = [r.integers(0, 60, r.integers(1, 40)).astype(np.uint16) for _ in range(40)]
-    index = packing.Shard(ids)
-    sizes = np.array(list(map(len, ids)))
-    df = {t: sum(t in d for d in ids) for d in ids for t in set(d.tolist())}
+    corpus = random_ids(r, 70)
+    ids = corpus[:40]
+    index = packing.Shard(ids, plain_corpus(corpus))
     for seed in range(40):
-        terms = sorted((t for t in set(ids[seed].tolist()) if df[t] > 1), key=lambda t: (df[t], t))[: packing.QUERY_TERMS]
-        scores = np.zeros(40)
-        for t in terms:
-            for d, tokens in enumerate(ids):
-                if tf := int((tokens == t).sum()):
-                    scores[d] += np.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * sizes[d] / sizes.mean()))
+        scores = plain_scores(ids[seed], ids, corpus)
         used = np.zeros(40, bool)
         used[[seed, 3]] = True
         got = index.neighbours(seed, used)
@@ -403,12 +466,82 @@ def test_neighbours_are_scored_as_bm25():
         assert all(scores[a] >= scores[b] - 1e-9 for a, b in zip(got, got[1:]))
 
 
+def plain_pack(ids, window):
+    """(document, start, length) of each window of one shard, greedily; the last one may be open."""
+    windows, open_, fill, unused = [], [], 0, set(range(len(ids)))
+    seed = start = None
+    while True:
+        if seed is None:
+            if not unused:
+                return windows + [open_] * bool(open_)
+            seed, start = min(unused), 0
+            unused.discard(seed)
+        takes, queried = [(seed, start, len(ids[seed]) - start)], False
+        seed = None
+        while takes:
+            d, s, n = takes.pop(0)
+            part = min(n, window - fill)
+            open_.append((d, s, part))
+            fill += part
+            if fill == window:
+                windows.append(open_)
+                open_, fill = [], 0
+                if queried and part == n:  # the window is full, and a new one begins with the next in order
+                    takes, seed = [], None
+                    break
+            if part < n:
+                takes.insert(0, (d, s + part, n - part))
+                continue
+            if queried or not fill:
+                continue
+            scores = plain_scores(ids[d], ids, ids)
+            queried, room, cut = True, window - fill, None
+            for x in sorted((x for x in unused if scores[x] > 0), key=lambda x: (-round(scores[x], 9), x)):
+                if len(ids[x]) <= room:
+                    takes.append((x, 0, len(ids[x])))
+                    unused.discard(x)
+                    room -= len(ids[x])
+                    if not room:
+                        cut = None
+                        break
+                elif cut is None:
+                    cut = x
+            if cut is not None:
+                unused.discard(cut)
+                seed, start = cut, 0
+
+
+def test_packing_is_greedy(monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    r = np.random.default_rng(3)
+    for k in range(6):
+        ids = random_ids(r, 30, (20, 150)[k % 2])
+        packer = packing.Packer()
+        got = list(packer.pack(list(range(30)), ids, plain_corpus(ids))) + list(packer.pieces())
+        windows = {}
+        for row, start, length, sequence, _ in got:
+            windows.setdefault(sequence, []).append((row, start, length))
+        assert list(windows.values()) == plain_pack(ids, 64)
+
+
+def test_copies_share_a_shard(spark, file_tokenizer):
+    """Copies that stand far apart in the table follow one another in the order of keys; near copies mostly do."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    texts = [[word() for _ in range(120)] for _ in range(400)]
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)] + [(1000 + i, " ".join(t[:-4] + [word()]), "en", "s") for i, t in enumerate(texts)]
+    args = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    got = packing.tokenised(messy.docs(spark, rows), *args).where("ids IS NOT NULL").orderBy("key", "place").collect()
+    place = {x.doc_id: k for k, x in enumerate(got)}
+    assert np.mean([abs(place[i] - place[1000 + i]) <= 32 for i in range(400)]) > 0.8
+
+
 def test_open_windows_go_on_over_shards(file_tokenizer):
     packer = packing.Packer()
     rows = []
     for k in range(3):
         ids = [np.arange(1, 300, dtype=np.uint16) for _ in range(4)]
-        rows += list(packer.pack([(k, i) for i in range(4)], ids))
+        rows += list(packer.pack([(k, i) for i in range(4)], ids, plain_corpus(ids)))
     rows += list(packer.close())
     assert sum(r[2] for r in rows) == 3 * 4 * 299
     assert len({r[3] for r in rows}) == 3 + bin(3 * 4 * 299 % 1024).count("1")
