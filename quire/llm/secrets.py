@@ -2,12 +2,13 @@
 
 The cost of guessing a value is the smallest sum, over all ways to cut it into spans, of log10 of the
 guesses each span takes: words by their rank, dates, repeats of one character, walks along keyboard
-rows or the alphabet, and brute force by character for what remains. A value that follows a
-credential word and costs STRONG or more is a secret of kind "guess"; "changeme2024" costs little and isn't one.
-A base span may end within such a value; the guess is then the whole value, and both are redacted as one.
+rows or the alphabet, and brute force by character for what remains. Words are ranked by the number of the corpus' documents that
+have them, the DICTIONARY most common ones (a bound on the model), after a short list of common passwords. Every value that follows a
+credential word and costs STRONG or more is a secret of kind "guess", whole, also where base spans hold it or end within it;
+"changeme2024" costs little and isn't one. Spans that overlap are redacted as one.
 
-Defined results: a null text counts as empty, and an empty one has no span; spans don't depend on
-other rows, so ties and repeated rows are scanned alike; the cost takes time in proportion to the
+Defined results: a null text counts as empty, and an empty one has no span; but for the words' ranks spans don't depend on
+other rows, so ties and repeated rows are scanned alike, and an empty table leaves the short list; the cost takes time in proportion to the
 value's length, so very long values are scanned whole.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import log10
 
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import blocks
+from quire.llm.common import blocks, lower_ascii
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is taken for a real secret.
@@ -46,11 +47,15 @@ charlie michael jordan thomas robert daniel andrew jessica ashley jennifer amand
 soccer killer pepper ginger cookie banana orange purple yellow silver golden diamond flower computer internet
 server database system network service default changeme example sample test user root guest public private
 token key pass word demo temp null none true false your insert here placeholder redacted""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Words of the corpus that are ranked, and the most letters such a word has.
+DICTIONARY, MOST_LETTERS = 20_000, 30
 # Rows of keys, and the orders that are typed as such.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "1qaz2wsx3edc4rfv5tgb6yhn7ujm")
-NEXT = {(a, b) for row in ROWS for a, b in (*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:]))}
+#: After a key, each row and direction in which another key follows.
+NEXT: dict[tuple[str, str], frozenset[int]] = {}
+for _k, _row in enumerate(w for row in ROWS for w in (row, row[::-1])):
+    for _pair in zip(_row, _row[1:]):
+        NEXT[_pair] = NEXT.get(_pair, frozenset()) | {_k}
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
 #: Added for each span, as how a value is cut must be guessed too.
@@ -61,37 +66,62 @@ def _alphabet(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-@lru_cache(4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest way to cut value into spans; 0 for an empty one."""
-    plain, n = value.lower(), len(value)
-    leet = plain.translate(LEET)
-    dates = {m.start(): m.end() for i in range(n) if (m := DATE.match(plain, i))} if any(map(str.isdigit, value)) else {}
-    same, walk = [0] * n, [0] * n  # where the run or walk that holds a character began
-    for i in range(1, n):
-        same[i] = same[i - 1] if value[i] == value[i - 1] else i
-        walk[i] = walk[i - 1] if (plain[i - 1], plain[i]) in NEXT else i
-    ending: dict[int, list[int]] = {}
-    for start, end in dates.items():
-        ending.setdefault(end, []).append(start)
-    best, forced = [0.0] * (n + 1), [0.0] * (n + 1)  # forced: of cuts whose last span is brute force
-    for j in range(1, n + 1):
-        c = value[j - 1]
-        forced[j] = min(best[j - 1] + CUT, forced[j - 1] if j > 1 else CUT) + _alphabet(c)
-        cost = forced[j]
-        for i in range(max(0, j - LONGEST), j - 2):
-            for form, extra in ((plain, 0.0), (leet, 0.5)):
-                if rank := RANK.get(form[i:j]):
-                    cased = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
-                    cost = min(cost, best[i] + CUT + log10(1 + rank) + cased + extra)
-        if (i := same[j - 1]) < j - 2:
-            cost = min(cost, best[i] + CUT + _alphabet(c) + log10(j - i))
-        if (i := walk[j - 1]) < j - 2:
-            cost = min(cost, best[i] + CUT + log10(2 * sum(map(len, ROWS))) + log10(j - i))
-        for i in ending.get(j, ()):
-            cost = min(cost, best[i] + CUT + log10(365 * 100 if j - i > 4 else 200))
-        best[j] = cost
-    return best[n]
+class Guesser:
+    """Costs of values, given words from the most common to the least, which come after WORDS. A repeat of one character is no word."""
+
+    def __init__(self, words: Iterable[str] = ()) -> None:
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *words):
+            if len(set(w)) > 1:
+                self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        # a span that begins before a run of one character ends within so many of the run's
+        self.reach = max(self.longest, *map(len, ROWS), 10)
+        self.cost = lru_cache(4096)(self._cost)
+
+    def _cost(self, value: str) -> float:
+        """log10 of the guesses for the cheapest way to cut value into spans; 0 for an empty one."""
+        n, plain = len(value), "".join([low if len(low := c.lower()) == 1 else c for c in value])
+        leet = plain.translate(LEET)
+        ending: dict[int, list[int]] = {}
+        if any(map(str.isdigit, value)):
+            for i in range(n):
+                if m := DATE.match(plain, i):
+                    ending.setdefault(m.end(), []).append(i)
+        same, walks = [0] * n, [{}] * n  # where the run that holds a character began; and the walks, by row and direction
+        for i in range(1, n):
+            same[i] = same[i - 1] if value[i] == value[i - 1] else i
+            walks[i] = {k: walks[i - 1].get(k, i - 1) for k in NEXT.get((plain[i - 1], plain[i]), ())}
+        best, forced = [0.0] * (n + 1), [0.0] * (n + 1)  # forced: of cuts whose last span is brute force
+        for j in range(1, n + 1):
+            c = value[j - 1]
+            forced[j] = min(best[j - 1] + CUT, forced[j - 1] if j > 1 else CUT) + _alphabet(c)
+            cost = forced[j]
+            for i in range(max(0, j - self.longest), j - 2):
+                for form, extra in ((plain, 0.0), (leet, 0.5)):
+                    if rank := self.rank.get(form[i:j]):
+                        cased = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
+                        cost = min(cost, best[i] + CUT + log10(1 + rank) + cased + extra)
+            # a run is cheapest from where the last span that isn't all of the run's character ends
+            for i in range(same[j - 1], min(same[j - 1] + self.reach, j - 3) + 1):
+                cost = min(cost, best[i] + CUT + _alphabet(c) + log10(j - i))
+            if walks[j - 1]:
+                for i in range(min(walks[j - 1].values()), j - 2):
+                    cost = min(cost, best[i] + CUT + log10(2 * sum(map(len, ROWS))) + log10(j - i))
+            for i in ending.get(j, ()):
+                cost = min(cost, best[i] + CUT + log10(365 * 100 if j - i > 4 else 200))
+            best[j] = cost
+        return best[n]
+
+
+PLAIN = Guesser()
+
+
+def dictionary(docs: DataFrame, text_column: str = "text", most: int = DICTIONARY) -> list[str]:
+    """The words that the most documents have, most common first and by the alphabet where equal; counted over all texts."""
+    words = F.filter(F.array_distinct(F.split(lower_ascii(F.col(text_column)), "[^a-z]+")), lambda w: F.length(w).between(3, MOST_LETTERS))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").count()
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -102,17 +132,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, str]], strong: float = STRONG) -> list[tuple[int, int, str]]:
-    """Values in a credential context that are hard to guess, whole, unless base spans hold all of them. One word after "is" is taken for prose."""
+def guessed_spans(text: str, guesser: Guesser = PLAIN, strong: float = STRONG) -> list[tuple[int, int, str]]:
+    """Values in a credential context that are hard to guess, whole. One word after "is" is taken for prose."""
     found = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
-        start, end = m.start(1), m.start(1) + len(value)
-        at = start
-        for s, e, _ in base:
-            at = e if s <= at < e else at
-        if len(value) >= 8 and at < end and not (_word(value) and not re.search("[:=]", text[m.start() : start])) and guess_cost(value) >= strong:
-            found.append((start, end, "guess"))
+        start = m.start(1)
+        if len(value) >= 8 and not (_word(value) and not re.search("[:=]", text[m.start() : start])) and guesser.cost(value) >= strong:
+            found.append((start, start + len(value), "guess"))
     return found
 
 
@@ -125,23 +152,24 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def _scan(text: str | None, guesser: Guesser = PLAIN) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     text = text or ""
     base = base_spans(text)
-    return base, sorted(base + guessed_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
+    return base, sorted(base + guessed_spans(text, guesser), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each of docs: counts and a digest of the base spans, all spans, and the largest guess cost of a value assigned or guessed (null: none)."""
-    kind = dict(docs.dtypes)[id_column]
+    kind, words = dict(docs.dtypes)[id_column], dictionary(docs, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(words)
         for batch in blocks(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                base, spans = _scan(text)
+                base, spans = _scan(text, guesser)
                 kinds = [k for _, _, k in base]
-                costs = [guess_cost(ASSIGN.match(text, s)[2] if k == "assign" else text[s:e]) for s, e, k in spans if k in ("assign", "guess")]
+                costs = [guesser.cost(ASSIGN.match(text, s)[2] if k == "assign" else text[s:e]) for s, e, k in spans if k in ("assign", "guess")]
                 rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), max(costs, default=None)))
             columns = list(zip(*rows)) or [()] * 6
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
@@ -150,29 +178,31 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, guess_cost double")
 
 
-def redact_text(text: str | None, mark: str = "[{}]") -> str | None:
-    """text with each secret replaced; of an assignment the name stays. Spans that touch are replaced together."""
+def redact_text(text: str | None, mark: str = "[{}]", guesser: Guesser = PLAIN) -> str | None:
+    """text with each secret replaced; of an assignment the name stays. Spans that overlap are replaced together."""
     if not text:
         return text
-    _, spans = _scan(text)
+    _, spans = _scan(text, guesser)
     if not spans:
         return text
-    cut = sorted((ASSIGN.match(text, s).start(2) if k == "assign" else s, e, k) for s, e, k in spans)
+    cut = sorted((ASSIGN.match(text, s).start(2) if k == "assign" else s, KINDS.index(k), e) for s, e, k in spans)
     parts, at = [], 0
-    for start, end, kind in cut:
+    for start, kind, end in cut:
         if start >= at:
-            parts += [text[at:start], mark.format("secret" if kind in ("assign", "guess") else kind)]
+            parts += [text[at:start], mark.format("secret" if KINDS[kind] in ("assign", "guess") else KINDS[kind])]
         at = max(at, end)
     return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with the secrets in its texts replaced, and n_chars, if there, counted anew; all rows stay."""
+    """docs with the secrets in its texts replaced, and n_chars, if there, counted anew; all rows stay, so an empty table gives an empty one."""
+    words = dictionary(docs, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(words)
         for batch in blocks(batches, text_column):
             at = batch.schema.get_field_index(text_column)
-            texts = pa.array([redact_text(t) for t in batch.column(at).to_pylist()], pa.string())
+            texts = pa.array([redact_text(t, guesser=guesser) for t in batch.column(at).to_pylist()], pa.string())
             batch = batch.set_column(at, text_column, texts)
             if (n := batch.schema.get_field_index("n_chars")) >= 0:
                 batch = batch.set_column(n, "n_chars", pc.utf8_length(texts).cast(batch.schema.field(n).type))
