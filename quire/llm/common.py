@@ -62,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
         files.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect what it no longer needs, upon which Spark drops the shuffle files of tables that are written."""
+    spark._jvm.System.gc()
+
+
 #: A key is hot from this share of all rows on, which no more keys can have.
 HOT_KEYS = 4096
 

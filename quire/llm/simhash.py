@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_BYTES, blocks, checkpointed, spread_join
+from quire.llm.common import LOWER_BYTES, blocks, checkpointed, discard, release, spread_join
 from quire.llm.graph import components
 
 #: Fingerprints in a bucket from which its members are looked up by a second segment too, where that loses nothing.
@@ -197,7 +197,9 @@ def hexadecimal(word: Column) -> Column:
 NEAR_COPIES = Index(shingle=5, words=8, width=32, radii=(1,) * 4, distance=150)
 #: So many of the most common shingles come last in the order, as far as over COMMON of the texts in a sample of 1 in SAMPLE
 #: have them. The order decides how many texts meet, not which are linked.
-MOST_COMMON, COMMON, SAMPLE = 200_000, 2, 8
+MOST_COMMON, COMMON, SAMPLE = 200_000, 2, 16
+#: Of them, those whose buckets are led without a shuffle of all their texts.
+HOT_SHINGLES = 10_000
 
 
 def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -210,26 +212,28 @@ def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
-    """(row, doc_id, content, node, f0, ..., n, plain, keys) of docs(row, doc_id, content, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated."""
+    """(row, doc_id, node, f0, ..., n, plain, keys) of docs(row, doc_id, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated; keys: for the first row of a node in each task."""
     words = index.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in blocks(batches):
             nodes, prints, sizes, plain, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, index.shingle)
                 found, distinct = _voted(hashes, words), np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes() + distinct.tobytes()))
-                keys.append(_prefix(distinct, common).view(np.int64))
+                keys.append((_prefix(distinct, common) if nodes[-1] not in seen else distinct[:0]).view(np.int64))
+                seen.add(nodes[-1])
                 prints.append(found)
                 sizes.append(len(distinct))
                 plain.append(len(distinct) == len(hashes))
             found = np.array(prints).reshape(-1, words).view(np.int64)
-            columns = [batch.column("row"), batch.column("doc_id"), batch.column("content"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "content", "node", *(f"f{w}" for w in range(words)), "n", "plain", "keys"])
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", *(f"f{w}" for w in range(words)), "n", "plain", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"row string, doc_id {kind}, content bigint, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, plain boolean, keys array<bigint>")
+    return docs.mapInArrow(run, f"row string, doc_id {kind}, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, plain boolean, keys array<bigint>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -238,7 +242,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _common(docs: DataFrame, index: Index) -> np.ndarray:
-    """The most common shingles of a sample of docs(content, text)."""
+    """The most common shingles of a sample of docs(content, text), most common first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -249,7 +253,7 @@ def _common(docs: DataFrame, index: Index) -> np.ndarray:
     sample = docs.where(F.pmod("content", F.lit(SAMPLE)) == 0).select("text")
     counts = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+    return np.array([r.key for r in rows], np.int64).view(np.uint64)
 
 
 def _row(id_column: str, text_column: str) -> Column:
@@ -262,7 +266,9 @@ def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) ->
     """(row, doc_id, root): the component of each row of docs, as near_copies() links them; a table."""
     docs = docs.select(_row(id_column, text_column).alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("content"), F.col(text_column).alias("text"))
     names = [f"f{w}" for w in range(index.words)]
-    prints = checkpointed(_sketches(docs, index, _common(docs, index)))
+    common = _common(docs, index)
+    sketches = checkpointed(_sketches(docs.select("row", "doc_id", "text"), index, np.sort(common)))
+    prints = checkpointed(sketches.drop("keys"))
     # all rows of a node have the same shingles; row: the one whose text stands for it
     heads = checkpointed(prints.groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in (*names, "n", "plain"))))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names))
@@ -298,9 +304,19 @@ def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) ->
     firsts = _looked_up(heads, index, False).groupBy("key").agg(F.min("node").alias("a"))
     stars = _looked_up(heads, index, True).join(firsts, "key").select("a", F.col("node").alias("b"))
     # by shingles: a bucket holds the texts that have one among their first, and is led by the first of them that has it in its first ninth
-    entries = prints.select("node", "n", F.posexplode("keys").alias("at", "key")).withColumn("early", 9 * F.col("at") <= F.col("n"))
-    leads = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("early"), F.struct("node", "n", "at"))).alias("lead"))
-    members = checkpointed(entries.join(leads.where("low < high AND lead IS NOT NULL").select("key", "lead"), "key").groupBy("key", "node", "n", "at", "early").agg(F.first("lead").alias("lead")))
+    entries = sketches.select("node", "n", F.posexplode("keys").alias("at", "key")).withColumn("early", 9 * F.col("at") <= F.col("n"))
+
+    def led(rows: DataFrame) -> DataFrame:
+        leads = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("early"), F.struct("node", "n", "at"))).alias("lead"))
+        return leads.where("low < high AND lead IS NOT NULL").select("key", "lead")
+
+    # the most common shingles, of which there are HOT_SHINGLES at most, are counted where they stand; all others travel once, and both sides of the join are at hand
+    hot = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in common[:HOT_SHINGLES].view(np.int64).tolist()], "key bigint"))
+    many, few = entries.join(hot, "key"), entries.join(hot, "key", "left_anti").repartition("key")
+    members = many.join(F.broadcast(led(many)), "key").unionByName(few.join(led(few), "key"))
+    members = checkpointed(members.groupBy("key", "node", "n", "at", "early").agg(F.first("lead").alias("lead")))
+    discard(sketches)
+    release(docs.sparkSession)
     # what both have from the shared shingle on is all that they can share, if it's the first they share
     reach = lambda x, y: enough(F.least(x["n"] - x["at"], y["n"] - y["at"]), x["n"], y["n"])
     whole = F.struct("n", "at")
@@ -308,6 +324,7 @@ def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) ->
     # each text is counted out with the nearest of them, then what isn't in one component by then in pairs
     nearest = checkpointed(measured(stars).groupBy("b").agg(F.min_by(F.struct("a", "a_n", "b_n", "a_row", "b_row"), F.struct("apart", "a")).alias("s")).select("b", "s.*"))
     found = alike(nearest)
+    release(docs.sparkSession)
     members = rooted(members.select("key", "node", "n", "at", "early"), found)
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rest = checkpointed(members.join(mixed, "key", "left_semi"))
