@@ -8,7 +8,8 @@ MIN_WORDS, are left is depleted and rejected.
 
 DataFrame functions only. Measures are taken row by row without a shuffle. Lines are hashed once, into a checkpoint;
 their counts are combined before each of two shuffles, the first by (line, text), so a line that a third of all
-documents have is spread out. Only hashes travel, and the texts only where `clean` takes lines out.
+documents have is spread out, and its rows stay where they are when the lines above the limit are joined back
+(`common.spread_join`). Only hashes travel, and the texts only where `clean` takes lines out.
 
 Defined results: a null text counts as empty; a null host is a host of its own; null ids come last
 in order; repeated rows get the same verdict; a line without letters is never boilerplate.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import checkpointed, spread_join
 
 MIN_WORDS = 10
 #: Distinct documents of a host with a line, beyond which it is boilerplate.
@@ -96,14 +97,15 @@ def line_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def boilerplate(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(line, first): lines of line_rows() found in more than max_documents distinct texts of their host, and the first document with each."""
-    by_text = rows.groupBy("line", "content").agg(F.min("id").alias("first"))
-    return by_text.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") > max_documents).select("line", "first")
+    """(line, first, n_rows): lines of line_rows() found in more than max_documents distinct texts of their host, the first document with each, and how many rows have it."""
+    by_text = rows.groupBy("line", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    by_line = by_text.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.sum("rows").alias("n_rows"))
+    return by_line.where(F.col("n") > max_documents).select("line", "first", "n_rows")
 
 
 def removals(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(id, content, removed): for documents that lose lines, the lines' place, hash and number of words."""
-    hit = rows.join(boilerplate(rows, max_documents), "line").where(~F.col("id").eqNullSafe(F.col("first")))
+    hit = spread_join(rows, checkpointed(boilerplate(rows, max_documents)), ["line"], "n_rows").where(~F.col("id").eqNullSafe(F.col("first")))
     return hit.groupBy("id", "content").agg(F.collect_set(F.struct("place", "n")).alias("removed"))
 
 
@@ -127,18 +129,16 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str =
 
 
 def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """The documents that are kept, without their boilerplate lines; their columns as before, with n_chars, if there, counted anew."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "n_words_left", "kept", "removed")
-    if clash := set(names) & set(docs.columns):  # columns of such names are carried under others
-        renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-        return clean(renamed, max_documents, id_column, text_column, host_column).withColumnsRenamed({f"_own_{c}": c for c in clash})
-    out = _judged(docs, max_documents, id_column, text_column, host_column).where("kept")
+    """The documents that are kept, without their boilerplate lines; their columns, of whatever names, as before, with n_chars, if there, counted anew."""
+    rows = docs.select(F.struct(*docs.columns).alias("of"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(host_column).alias("host"))
+    out = _judged(rows, max_documents, "doc_id", "text", "host").where("kept")
     places = F.transform("removed", lambda x: x["place"])
-    left = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
-    out = out.withColumn(text_column, F.when(F.col("removed").isNull(), F.col(text_column)).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_column).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+    out = out.select("of", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"))
+    given = {text_column: F.col("text")}
+    if "n_chars" in docs.columns and text_column != "n_chars":
+        given["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(given.get(c, F.col("of").getField(c)).alias(c) for c in docs.columns))
 
 
 _SPACE = "[\\x20\\x09-\\x0D]"
