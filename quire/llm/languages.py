@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are cut into windows of fixed length; filters of several widths over byte embeddings, max
 pooling over the window and a softmax layer give each window's languages, and a text has the mean over all its
 windows, by their number of bytes. Trained on windows of a bounded sample of labelled rows (TRAINING_ROWS,
-WINDOWS_EACH of a language). For use, the first two and last two taps of all filters are tabled for each pair of
+WINDOWS_EACH of a language, and models.TRAINING_CHARACTERS of a text). For use, the first two and last two taps of all filters are tabled for each pair of
 bytes, so that a place takes two table rows and no product.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows with a null language
@@ -12,22 +12,23 @@ or text aren't learnt from; with no such rows at all every text is `und`; repeat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import blocks
-from quire.llm.models import Adam, bounded_sample, by_crc, softmax
+from quire.llm.models import Adam, bounded_sample, by_crc, softmax, training_text
 
 #: Bounds on what is learnt from: labelled rows of all, and windows of each language.
 TRAINING_ROWS, WINDOWS_EACH = 3000, 2500
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 96, (2, 3, 4), 16, 8
 TAPS = max(WIDTHS)
-LETTER = re.compile(r"[^\W\d_]")
+#: Of the Unicode categories L; other numerals than digits, as ½ or Ⅷ, aren't letters.
+LETTER = regex.compile(r"\p{L}")
 
 
 class ByteNetwork:
@@ -119,7 +120,7 @@ def predict(texts: list[str | None], network: ByteNetwork, tables: tuple[np.ndar
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", rows: int = TRAINING_ROWS, each: int = WINDOWS_EACH) -> ByteNetwork:
     """A network from about `rows` rows whose fold isn't 2."""
-    labelled = docs.where((by_crc(id_column, 4) != 2) & F.col(language_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(language_column).cast("string").alias("lang"))
+    labelled = docs.where((by_crc(id_column, 4) != 2) & F.col(language_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), training_text(id_column, text_column).alias("text"), F.col(language_column).cast("string").alias("lang"))
     sample = sorted((r["lang"], r["doc_id"] is None, r["doc_id"], r["text"]) for r in bounded_sample(labelled, rows).collect() if LETTER.search(r["text"]))
     languages = sorted({s[0] for s in sample})
     network, windows, labels, r = ByteNetwork(languages), [], [], np.random.default_rng(11)
