@@ -15,12 +15,29 @@ def by_crc(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Characters of a text that are learnt from at most; of longer ones a run of so many, which begins where the id's hash says.
+TRAINING_CHARACTERS = 200_000
+
+
 def bounded_sample(rows: DataFrame, most: int, id_column: str = "doc_id") -> DataFrame:
-    """About `most` rows, those of the smallest hashes of their ids, and never over twice as many; all where there are fewer. One more count of the rows is what it takes."""
+    """About `most` rows, those of the smallest hashes of their ids, and never over twice as many, those of the smallest hashes of all their columns; all where there are fewer. One more count of the rows is what it takes."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(PARTS)) < F.lit(most * PARTS // n)).limit(2 * most)
+    some = rows.where(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(PARTS)) < F.lit(most * PARTS // n))
+    return least_hashes(some, 2 * most)
+
+
+def least_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, the same ones whatever order they come in."""
+    return rows.orderBy(F.xxhash64(*rows.columns)).limit(most)
+
+
+def training_text(id_column: str, text_column: str) -> Column:
+    """The text, or a run of TRAINING_CHARACTERS of a longer one, so that what is brought to the driver is bounded."""
+    text, over = F.col(text_column), F.length(text_column) - TRAINING_CHARACTERS
+    start = F.pmod(F.xxhash64(F.col(id_column), F.lit("start")), F.greatest(over, F.lit(1)).cast("bigint")).cast("int")
+    return F.when(over > 0, text.substr(start + 1, F.lit(TRAINING_CHARACTERS))).otherwise(text)
 
 
 class Adam:

@@ -1,12 +1,13 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
 A document is a bag of passages (PASSAGE bytes each, all of the text). A passage's features are the shares of the pairs
-of character classes in it, its length, and the share of its words that stood in the document before. A dense layer encodes each
-passage; gated attention, tanh(Vh) * sigmoid(Uh), learnt from document labels alone, weighs them; the weighted sum
-is scored by a logistic layer. Trained in numpy with Adam on a bounded sample of labelled rows (TRAINING_ROWS).
+of character classes in it, how often words of each of N_WORDS hash buckets stand in it, its length, and the share of its words that stood
+in the document before. A dense layer encodes each passage; gated attention, tanh(Vh) * sigmoid(Uh), learnt from document labels alone, weighs them; the weighted sum
+is scored by a logistic layer. Trained in numpy with Adam on a bounded sample of labelled rows (TRAINING_ROWS, and models.TRAINING_CHARACTERS of a
+text; where ids repeat at most four times as many rows).
 
 Defined results: a null or empty text is one passage without features; rows without a label, or whose document is
-missing, aren't learnt from, and with no labels at all every score is 0.5; a document with several labels is learnt
+missing, aren't learnt from, and with no labels at all every score is 0.5; an empty table gives an empty result; a document with several labels is learnt
 with each; repeated rows get the same score.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import blocks
-from quire.llm.models import Adam, bounded_sample, by_crc, sigmoid
+from quire.llm.models import Adam, bounded_sample, by_crc, least_hashes, sigmoid, training_text
 
 #: Bound on the labelled rows that are learnt from.
 TRAINING_ROWS = 3000
@@ -35,7 +36,8 @@ CLASS[:32] = 13
 for _k, _chars in enumerate([b" \t", b"\n\r", bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), b".", b",;:", b"!?", b"\"'`", b"()[]{}", b"#*$%&", b"|<>", b"-_/\\+=@"]):
     CLASS[list(_chars)] = _k
 N_CLASSES = 16
-N_FEATURES = N_CLASSES * N_CLASSES + 2
+N_PAIRS, N_WORDS = N_CLASSES * N_CLASSES, 64
+N_FEATURES = N_PAIRS + N_WORDS + 2
 BLANK = np.zeros(256, bool)
 BLANK[list(b" \t\n\r\x0b\x0c\x00")] = True
 POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
@@ -57,7 +59,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = passage[:-1] == passage[1:]
     size = np.bincount(passage, minlength=n).astype(np.float32)
     features = np.zeros((n, N_FEATURES), np.float32)
-    features[:, :-2] = np.bincount((passage[:-1] * (N_CLASSES * N_CLASSES) + pairs)[inside], minlength=n * N_CLASSES * N_CLASSES).reshape(n, -1) / size[:, None]
+    features[:, :N_PAIRS] = np.bincount((passage[:-1] * N_PAIRS + pairs)[inside], minlength=n * N_PAIRS).reshape(n, -1) / size[:, None]
     features[:, -2] = np.log1p(size) / 8
     # words as hashes, to see which stood in the same text before
     solid = ~BLANK[flat]
@@ -70,6 +72,8 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         names = np.bincount(owner, minlength=len(first))
         place = np.minimum(at - first[owner], 63)
         hashes = np.add.reduceat((flat[at].astype(np.uint64) + 1) * POWERS[place], np.cumsum(names) - names)
+        buckets = (hashes * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.int64) % N_WORDS
+        features[:, N_PAIRS:-2] = np.log1p(np.bincount(passage[first] * N_WORDS + buckets, minlength=n * N_WORDS).reshape(n, -1))
         hashes = hashes * np.uint64(0xC2B2AE3D27D4EB4F) ^ doc[first].astype(np.uint64) * np.uint64(0x165667B19E3779F9)
         order = np.argsort(hashes, kind="stable")
         again = np.zeros(len(first), bool)
@@ -124,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """A model from about `rows` labels whose fold isn't 0."""
     wanted = labels.where((by_crc("doc_id", 5) != 0) & F.col(label_column).isNotNull()).select(F.col("doc_id"), F.col(label_column).cast("int").alias("label"))
     chosen = F.broadcast(bounded_sample(wanted, rows))  # bounded by twice `rows`
-    got = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(chosen, "doc_id").limit(4 * rows).collect()
+    got = least_hashes(docs.select(F.col(id_column).alias("doc_id"), training_text(id_column, text_column).alias("text")).join(chosen, "doc_id"), 4 * rows).collect()
     sample = sorted((r["doc_id"], r["label"], r["text"] or "") for r in got)
     model = AttentionModel()
     if sample:
@@ -161,7 +165,7 @@ def score(docs: DataFrame, model: AttentionModel, id_column: str = "doc_id", tex
 
 
 def accept(docs: DataFrame, model: AttentionModel, text_column: str = "text") -> DataFrame:
-    """The rows of docs that are predicted to be of label 1."""
+    """The rows of docs that are predicted to be of label 1, with all their columns; of an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_column, 1_000_000):
