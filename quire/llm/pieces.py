@@ -6,7 +6,8 @@ equal words have equal ids. The distinct words of a block of texts are encoded t
 lie in one flat array, and each round finds, for every word at once, the least rank among its
 adjacent pairs, merges the leftmost pair of that rank in each word, and compacts the array, until
 no pair is left. Where no later pair could come in between ("safe" pieces: none that a piece of lower
-rank could be made from), all pairs of the rank in a word merge in the same round, leftmost first.
+rank could be made from), all pairs of the rank in a word merge in the same round, leftmost first. So do those
+that stand so far behind the pair before that no piece reaches from what one becomes to what the other does.
 
 The state kept between blocks is a table of words of bounded size; no text is cut.
 
@@ -70,6 +71,7 @@ class Pieces:
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs))
         self.safe = np.ones(self.size, bool)
         self.safe[list(unsafe)] = False
+        self.reach = 2 * max(map(len, plain)) + 2
         self.inside = {t[k : k + 2] for t in plain for k in range(len(t) - 1)}
         self.words: dict[str, tuple[int, str, str]] = {}
 
@@ -108,7 +110,8 @@ class Pieces:
             fresh = np.append(True, part[hit[1:]] != part[hit[:-1]])  # the leftmost of each part
             first = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1) | fresh)
             offset = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
-            take = hit[fresh | (self.safe[into[hit]] & (offset % 2 == 0))]
+            far = np.append(True, hit[1:] - hit[:-1] >= self.reach)
+            take = hit[fresh | far | (self.safe[into[hit]] & (offset % 2 == 0))]
             symbols[take] = into[take]
             busy[take + 1] = False
             moved = np.cumsum(busy) - 1
