@@ -1,17 +1,17 @@
 """Document fingerprints by locally consistent parsing.
 
-A text's code points are parsed into phrases, phrases into phrases of phrases, and so on. At each level runs
+A text's code points are parsed into phrases, phrases into phrases of phrases, and so on until one is left. At each level runs
 of one symbol become a symbol; deterministic coin tossing then gives each symbol a label from the lowest bit in
 which it differs from the one before, four times over, so that few labels remain and neighbours differ;
 phrases begin at labels larger than both neighbours', and are named by a hash of their symbols. Where a phrase begins depends on a
-few symbols around, so equal substrings get equal phrases inside wherever they stand. The fingerprint holds
-the SKETCH smallest hashed names of level LEVEL (phrases of some 27 characters), and the likeness of two is the
-estimated share of names they have in common.
+few symbols around, so equal substrings get equal phrases inside wherever they stand. The fingerprint is the set of all
+names (32 bits) from level LEVEL (phrases of some 27 characters) to the top, and the likeness of two is the exact share of names they
+have in common (Jaccard); what is equal on a larger scale counts on every level. It takes about as many bytes as a third of the text.
 
 Texts of a block are parsed together in flat arrays.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, alike to an empty one (1) and unlike all
-others (0); null ids stand before all others; rows of equal id go by the hash of their texts; with
+others (0); ids are integers, and null ones stand before all others; rows of equal id go by the hash of their texts; with
 one row the next document is that row itself; an empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from quire.llm.common import blocks
 
-LEVEL, SKETCH = 3, 64
+LEVEL = 3
 ONE, BASE = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(256, BASE, np.uint64))
 LEAST = -(1 << 63)
@@ -80,31 +80,32 @@ def parse(symbols: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarray,
 
 
 def sketches(texts: list[str]) -> list[str]:
-    """The fingerprint of each text: its smallest names as 8 hexadecimal digits each, in order."""
+    """The fingerprint of each text: its names as 8 hexadecimal digits each, in order."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     symbols = mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    for level in range(1, LEVEL + 1):
+    doc, level, all_names, all_docs = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), 0, [], []
+    while len(symbols):
+        level += 1
         symbols, doc = parse(symbols, doc, level)
-    names = mix(symbols ^ BASE) >> np.uint64(32)
-    order = np.lexsort((names, doc))
-    names, doc = names[order], doc[order]
-    fresh = np.append(True, (names[1:] != names[:-1]) | (doc[1:] != doc[:-1]))[: len(names)]
-    names, doc = names[fresh], doc[fresh]
-    counts = np.bincount(doc, minlength=len(texts))
-    starts = np.cumsum(counts) - counts
-    return ["".join([f"{v:08x}" for v in names[s : s + min(c, SKETCH)].tolist()]) for s, c in zip(starts.tolist(), counts.tolist())]
+        if level >= LEVEL:
+            all_names.append(mix(symbols ^ BASE) >> np.uint64(32))
+            all_docs.append(doc)
+            going = np.bincount(doc, minlength=len(texts))[doc] > 1  # a text that is one phrase is done
+            symbols, doc = symbols[going], doc[going]
+    pairs = np.concatenate([np.empty(0, np.uint64), *(n | d.astype(np.uint64) << np.uint64(32) for n, d in zip(all_names, all_docs))])
+    pairs = np.unique(pairs)
+    ends = 8 * np.searchsorted(pairs, np.arange(1, len(texts) + 1, dtype=np.uint64) << np.uint64(32))
+    digits = pairs.astype(">u4").tobytes().hex()
+    return [digits[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def likeness(a: str, b: str) -> float:
-    """The estimated share of phrase names that two fingerprints' texts have in common; exact where both have at most SKETCH."""
+    """The share of phrase names that two fingerprints' texts have in common."""
     if a == b:
         return 1.0
-    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (a, b))
-    if not x or not y:
-        return 0.0
-    least = sorted(x | y)[:SKETCH]
-    return sum(v in x and v in y for v in least) / len(least)
+    x, y = (np.frombuffer(bytes.fromhex(s), ">u4") for s in (a, b))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared)
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -121,35 +122,39 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def in_order(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(bucket, ghost, id, text), each partition in that order: runs of ascending ids, each closed by a ghost, the row that follows the run.
 
-    Runs hold about equal numbers of rows (approximate quantiles of the ids, a few for each shuffle partition); the
-    first row of a run is sent to the run before as well, the first of all to the last. So the next row of any is at hand
-    without one task seeing all rows.
+    Runs hold about equal numbers of rows (approximate quantiles of the ids, a few for each shuffle partition); an id that is
+    several of the quantiles has as many runs, by ranges of its texts' hashes. The first row of a run is sent to the run
+    before as well, the first of all to the last. So the next row of any is at hand without one task seeing all rows.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LEAST)).alias("id"))
+    rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LEAST)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     runs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.unique(np.array(ids.agg(F.percentile_approx("id", [i / runs for i in range(1, runs)], 100 * runs)).first()[0] or [], np.int64))
+    bounds = np.sort(np.array(rows.agg(F.percentile_approx("id", [i / runs for i in range(1, runs)], 100 * runs)).first()[0] or [], np.int64))
+
+    def buckets(i, h) -> np.ndarray:
+        first, after = np.searchsorted(bounds, i, side="left"), np.searchsorted(bounds, i, side="right")
+        part = (h.astype(np.float64) / 2.0**64 + 0.5) * (after - first)  # from 0 to the number of runs that the id has
+        return np.where(after > first, np.minimum(first + 1 + part.astype(np.int64), after), first).astype(np.int32)
 
     @F.pandas_udf(T.IntegerType())
-    def run_of(i):
+    def run_of(i, h):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, i.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(buckets(i.to_numpy(), h.to_numpy()))
 
     # as many rows as there are runs
-    firsts = [(r["bucket"], r["id"]) for r in ids.withColumn("bucket", run_of("id")).groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()]
-    before = {i: firsts[k - 1][0] for k, (_, i) in enumerate(firsts)}
+    firsts = [(r["bucket"], r["first"]["id"], r["first"]["hash"]) for r in rows.select("id", "hash").withColumn("bucket", run_of("id", "hash")).groupBy("bucket").agg(F.min(F.struct("id", "hash")).alias("first")).orderBy("bucket").collect()]
+    before = {(i, h): firsts[k - 1][0] for k, (_, i, h) in enumerate(firsts)}
 
     @F.pandas_udf("array<struct<bucket:int,ghost:boolean>>")
-    def places(i):
+    def places(i, h):
         import pandas as pd
 
-        own = np.searchsorted(bounds, i.to_numpy(), side="right").tolist()
-        return pd.Series([[{"bucket": b, "ghost": False}, {"bucket": before[x], "ghost": True}] if x in before else [{"bucket": b, "ghost": False}] for x, b in zip(i.tolist(), own)], dtype=object)
+        own = buckets(i.to_numpy(), h.to_numpy()).tolist()
+        return pd.Series([[{"bucket": b, "ghost": False}, {"bucket": before[x], "ghost": True}] if x in before else [{"bucket": b, "ghost": False}] for x, b in zip(zip(i.tolist(), h.tolist()), own)], dtype=object)
 
-    rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LEAST)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = rows.withColumn("p", F.explode(places("id"))).select("p.bucket", "p.ghost", "id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "ghost", "id", F.xxhash64("text"))
+    rows = rows.withColumn("p", F.explode(places("id", "hash"))).select("p.bucket", "p.ghost", "id", "text", "hash")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "ghost", "id", "hash").drop("hash")
 
 
 def _edited(text: str, following: str) -> str:
