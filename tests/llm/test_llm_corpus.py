@@ -1,6 +1,7 @@
 """Operators that look at all documents, against plain versions; trained models on held-out rows; the pipeline."""
 
 import random
+import unicodedata
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quire.llm import languages, line_rules, quality, simhash
+from quire.llm import languages, line_rules, models, quality, simhash
 from quire.llm.common import documents, table
 from quire.llm.graph import components
 
@@ -213,6 +214,23 @@ def test_measures(spark):
     assert line_rules.judge(messy.empty(spark)).count() == 0 and line_rules.clean(messy.empty(spark)).count() == 0
 
 
+def test_clean_keeps_columns_of_any_name(spark):
+    filler = lambda i: " ".join(f"word{chr(97 + i % 26)}{chr(97 + k)}" for k in range(15))
+    rows = [(i, f"menu home\n{filler(i)}", "en", "s") for i in range(12)]
+    names = "_w _m _id _x _h _l _c _content of host id content place line removed kept".split()
+    docs = messy.docs(spark, rows).select("doc_id", "text", "source", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    out = line_rules.clean(docs)
+    assert out.columns == docs.columns and out.count() == 12
+    assert all([r[n] for n in names] == list(range(len(names))) and r.text == (rows[0][1] if r.doc_id == 0 else filler(r.doc_id)) for r in out.collect())
+
+
+def test_a_line_in_half_of_all_rows(spark):
+    filler = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k)}" for k in range(15))
+    rows = [(i, ("shared line\n" if i % 2 else "") + filler(i), "en", "s") for i in range(3000)]
+    got = line_rules.judge(messy.docs(spark, rows)).collect()
+    assert all(r.n_lines_removed == (r.doc_id % 2 and r.doc_id != 1) and r.kept for r in got)
+
+
 # trained models
 
 
@@ -231,6 +249,91 @@ def test_languages_messy(spark):
     assert {r.lang_pred for r in languages.identify(messy.docs(spark), none).collect()} == {"und"}
 
 
+def plain_language(text, network):
+    """The forward pass of one text, place by place, window by window."""
+    if not text or not any(unicodedata.category(c).startswith("L") for c in text):
+        return "und", 0.0
+    p, data, total, weight = network.weights, text.encode(), 0.0, 0
+    for s in range(0, len(data), languages.WINDOW):
+        window = data[s : s + languages.WINDOW + languages.TAPS - 1].ljust(languages.WINDOW + languages.TAPS - 1, b"\0")
+        if len(data) - s < languages.WINDOW:
+            window = data[s:].ljust(languages.WINDOW + languages.TAPS - 1, b"\0")
+        e = [p["embedding"][c] for c in window]
+        conv = np.array([sum(e[i + t] @ p["filters"][t] for t in range(languages.TAPS)) for i in range(languages.WINDOW)])
+        z = np.maximum(conv.max(0) + p["bias"], 0) @ p["output"] + p["output_bias"]
+        used = sum(c != 0 for c in data[s : s + languages.WINDOW])
+        total, weight = total + used * np.exp(z - z.max()) / np.exp(z - z.max()).sum(), weight + used
+    mean = total / weight
+    return network.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_languages_forward(spark):
+    docs = documents(spark, SF, "doc_id", "text", "lang")
+    network = languages.train(docs)
+    got = {r.doc_id: r for r in languages.identify(docs, network).collect()}
+    for d, text, _ in docs.limit(25).collect():
+        lang, score = plain_language(text, network)
+        assert got[d].lang_pred == lang and got[d].score == pytest.approx(score, abs=1e-4)
+
+
+def test_letters(spark):
+    rows = [(1, "½ ² Ⅷ 12 _!", "en", "s"), (2, "\u4e2d", "en", "s"), (3, "12 ª", "en", "s"), (4, "\u0301 ①", "en", "s")]
+    got = {r.doc_id: r.lang_pred for r in languages.identify(messy.docs(spark, rows), languages.train(documents(spark, SF, "doc_id", "text", "lang"))).collect()}
+    assert got[1] == got[4] == "und" and "und" not in (got[2], got[3])
+
+
+def test_long_training_texts_are_bounded(spark):
+    docs = messy.docs(spark, [(i, "abcdefghij" * 30_000 + str(i), "en", "s") for i in range(3)] + [(9, "short", "en", "s"), (10, None, "en", "s")])
+    got = docs.select("doc_id", models.training_text("doc_id", "text").alias("t"), "text").collect()
+    assert all(r.t == r.text if r.doc_id > 8 else len(r.t) == models.TRAINING_CHARACTERS and r.t in r.text for r in got)
+    rows = spark.range(9000).selectExpr("id % 3 AS doc_id", "id AS x")
+    assert models.bounded_sample(rows, 1000).count() <= 2000
+    a, b = (sorted(map(tuple, models.bounded_sample(rows.repartition(n), 1000).collect())) for n in (2, 5))
+    assert a == b
+
+
+def plain_quality(text, model):
+    """The score of one text, passage by passage."""
+    x, _ = quality.passages([text])
+    p, hs, es = model.weights, [], []
+    for row in (x - model.mean) * model.scale:
+        h = np.tanh(row @ p["encoder"] + p["encoder_bias"])
+        hs.append(h)
+        es.append(float((np.tanh(h @ p["v"]) * (1 / (1 + np.exp(-(h @ p["u"]))))) @ p["w"][:, 0]))
+    a = np.exp(np.array(es) - max(es))
+    z = sum(w * h for w, h in zip(a / a.sum(), hs))
+    return 1 / (1 + np.exp(-(z @ p["output"][:, 0] + p["bias"][0])))
+
+
+def plain_features(text):
+    """The features of a text's passages, byte by byte and word by word."""
+    data, seen, out = text.encode() or b"\0", set(), []
+    words = [(m.start(), m[0]) for m in __import__("re").finditer(rb"[^ \t\n\r\x0b\x0c\x00]+", data)]
+    for s in range(0, len(data), quality.PASSAGE):
+        part, row = data[s : s + quality.PASSAGE], np.zeros(quality.N_FEATURES)
+        for a, b in zip(part, part[1:]):
+            row[quality.CLASS[a] * quality.N_CLASSES + int(quality.CLASS[b])] += 1 / len(part)
+        own, again = [w for at, w in words if s <= at < s + quality.PASSAGE], 0
+        for w in own:
+            h = sum((c + 1) * int(quality.POWERS[min(i, 63)]) for i, c in enumerate(w)) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1
+            row[quality.N_PAIRS + (h >> 48) % quality.N_WORDS] += 1
+            again += w in seen
+            seen.add(w)
+        row[quality.N_PAIRS : -2] = np.log1p(row[quality.N_PAIRS : -2])
+        row[-2], row[-1] = np.log1p(len(part)) / 8, again / max(1, len(own))
+        out.append(row)
+    return np.array(out)
+
+
+def test_quality_forward(spark):
+    docs = documents(spark, SF)
+    model = quality.train(docs, table(spark, SF, "labels"))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for d, text in docs.limit(40).collect():
+        assert np.allclose(quality.passages([text])[0], plain_features(text or ""), atol=1e-5)
+        assert got[d].score == pytest.approx(plain_quality(text, model), abs=1e-4)
+
+
 def test_network_tables_equal_its_layers():
     network = languages.ByteNetwork(["a", "b"])
     x = np.frombuffer(b"some bytes to look at, quite a few of them", np.uint8)
