@@ -104,24 +104,11 @@ def normalize_title(title: Column | str) -> Column:
     return F.when(F.octet_length(dotted) <= C.TITLE_MAX_BYTES, dotted).otherwise(cut)
 
 
-def titles_equal(a: Column | str, b: Column | str) -> Column:
-    a, b = normalize_title(a), normalize_title(b)
-    return F.coalesce((a == b) & (a != ""), F.lit(False))
-
-
 def is_junk_title(title: Column | str) -> Column:
     title = _col(title)
     return title.isNull() | (title == "") | ascii_lower(title).isin(*C.JUNK_TITLES)
 
 
-def repeats_title(kind: Column, words_: Column, title: Column) -> Column:
-    """A heading, or a short paragraph whose text and the title hold one another."""
-    text = F.array_join(words_, " ")
-    nt, nb = normalize_title(title), normalize_title(text)
-    short = (kind == "PARAGRAPH") & F.size(words_).between(1, C.TITLE_REPEAT_MAX_WORDS) & (F.octet_length(text) >= 2) & (nt != "") & (nb != "")
-    return F.coalesce((title != "") & ((kind == "HEADING") | (short & (contains_ignoring_case(nb, nt) | contains_ignoring_case(nt, nb)))), F.lit(False))
-
-
 def synthetic_anchor(spine_index: Column, block_index: Column) -> Column:
     return F.format_string(f"{C.ANCHOR_PREFIX}-%d-%d", spine_index, block_index)
 
@@ -130,11 +117,6 @@ def fallback_title(spine_index: Column) -> Column:
     return F.concat(F.lit("Chapter "), (spine_index + 1).cast("string"))
 
 
-def clock(ts: Column) -> Column:
-    """As 2:34am."""
-    return F.lower(F.date_format(ts, "h:mma"))
-
-
 def progress_percent(page: Column, total: Column) -> Column:
     return F.floor(page * 100 / total).cast("int")
 

@@ -40,15 +40,30 @@ def eligible(words: Column, norm: Column) -> Column:
     return F.size(words).between(1, C.RUNNING_HEAD_MAX_WORDS) & ~X.is_page_number(words) & (F.octet_length(norm) >= C.RUNNING_HEAD_MIN_BYTES)
 
 
+def judged(lines: DataFrame, unicode_norm: bool = False) -> DataFrame:
+    """lines with norm and eligible."""
+    norm = X.normalized_text(F.array_join("words", " "), unicode_norm)
+    lines = lines.withColumn("norm", norm)
+    return lines.withColumn("eligible", eligible(F.col("words"), F.col("norm")))
+
+
 def counted(lines: DataFrame, unicode_norm: bool = False) -> DataFrame:
-    """lines with norm and, where eligible, `repeats`: the lines of the book that have the same norm.
+    """judged() lines with `repeats`: of running heads, the lines of the book that have the same norm; null for all others.
 
-    The counts are aggregated before they are joined back, so that a running head of a large book isn't sorted in one task.
+    The counts are aggregated before they are joined back, and only to lines that can be a running head, so neither a running head
+    of a large book nor the many lines of one norm that can't be one meet in one task; heads are few, and are broadcast where Spark finds them small enough.
     """
-    norm = X.normalized_text(F.array_join("words", " "), unicode_norm)
-    lines = lines.withColumn("norm", norm).withColumn("eligible", eligible(F.col("words"), F.col("norm")))
-    counts = lines.where("eligible").groupBy("book_id", "norm").agg(F.count(F.lit(1)).alias("repeats"))
-    return lines.join(counts.withColumn("eligible", F.lit(True)), ["book_id", "norm", "eligible"], "left")
+    lines = judged(lines, unicode_norm)
+    heads = lines.where("eligible").groupBy("book_id", "norm").agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") >= C.RUNNING_HEAD_MIN_REPEATS)
+    return lines.where("eligible").join(heads, ["book_id", "norm"], "left").unionByName(lines.where(~F.col("eligible")).withColumn("repeats", F.lit(None).cast("bigint")))
+
+
+def summary(lines: DataFrame, unicode_norm: bool = False) -> DataFrame:
+    """(book_id, blocks, dropped, page_numbers, words): what pruning running heads leaves of each book, by two aggregates and no join."""
+    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
+    by_norm = judged(lines, unicode_norm).groupBy("book_id", F.when(F.col("eligible"), F.col("norm")).alias("norm")).agg(F.count(F.lit(1)).alias("n"), count(X.is_page_number("words"), "page_numbers"), F.sum(F.size("words")).alias("words"))
+    heads = F.when(F.col("norm").isNotNull() & (F.col("n") >= C.RUNNING_HEAD_MIN_REPEATS), F.col("n")).otherwise(0)
+    return by_norm.groupBy("book_id").agg(F.sum("n").alias("blocks"), F.sum(heads).alias("dropped"), F.sum("page_numbers").alias("page_numbers"), F.sum("words").alias("words"))
 
 
 def folios(lines: DataFrame) -> DataFrame:

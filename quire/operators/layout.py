@@ -189,7 +189,7 @@ def typeset(chapters: DataFrame, blocks: DataFrame, options: Options = Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 parts = {b["block_index"]: b for b in row["blocks"] or ()}
                 lines = chapter_lines(row["blocks"] or [], row["chapter_title"], column, style)
                 out = []
@@ -242,6 +242,22 @@ def line_text(texts: Column, spaces_after: Column, indent: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), indent), F.array_join(words, ""))
 
 
+def wrapped(rows: DataFrame, column: int, first: int, rest: int, *keys: str) -> DataFrame:
+    """(keys, line, widths, indent, is_last): the lines, from 0, that each of rows(keys, widths) is wrapped to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                widths = batch.column("widths")[i].as_py()
+                lines = wrap(widths, column, first, rest)
+                n = len(lines)
+                of = [pa.array([batch.column(k)[i].as_py()] * n, batch.column(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(range(n), pa.int32()), pa.array([widths[s:e] for s, e, _ in lines], pa.list_(pa.int32())), pa.array([x for *_, x in lines], pa.int32()), pa.array([k == n - 1 for k in range(n)], pa.bool_())], [*keys, "line", "widths", "indent", "is_last"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, "widths").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", line int, widths array<int>, indent int, is_last boolean")
+
+
 def word_lines(widths: Column, column: int, first: int, rest: int) -> Column:
     """How many lines wrap() gives, as a native fold."""
     start = F.struct(F.lit(0).alias("lines"), F.lit(first).alias("used"))

@@ -10,9 +10,20 @@ from quire import config as C
 from quire.functions import text as X
 
 
+def numbered(rows: DataFrame, name: str, part: str, *order: str) -> DataFrame:
+    """rows(book_id, part, ...) with column `name`: their number from 1 over the book, in the order of part and then of order.
+
+    Rows are numbered within each part, and only the parts' counts are added up over a book, so a long book isn't one task.
+    """
+    counts = rows.groupBy("book_id", part).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy("book_id").orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("book_id", part).orderBy(*order))
+    return rows.join(counts.withColumn("_before", before).drop("_rows"), ["book_id", part]).withColumn(name, (within + F.col("_before")).cast("int")).drop("_before")
+
+
 def number_pages(pages: DataFrame) -> DataFrame:
     """pages(book_id, spine_index, page_in_chapter, ...) with global_page from 1 over the book."""
-    return pages.withColumn("global_page", F.row_number().over(W.partitionBy("book_id").orderBy("spine_index", "page_in_chapter")))
+    return numbered(pages, "global_page", "spine_index", "page_in_chapter")
 
 
 def chapter_first_pages(pages: DataFrame) -> DataFrame:
@@ -23,7 +34,7 @@ def search(words: DataFrame, query: str) -> DataFrame:
     """Rows of words(book_id, global_page, line_index, word_index, word) that hold the query, ASCII case ignored; match counts from 0 within the book."""
     query = query.strip(" \t\n\r\x0b\f").encode()[:127].decode("utf-8", "ignore")
     found = words.where(X.contains_ignoring_case("word", F.lit(query)) & F.lit(query != ""))
-    return found.withColumn("match", F.row_number().over(W.partitionBy("book_id").orderBy("global_page", "line_index", "word_index")) - 1)
+    return numbered(found, "match", "global_page", "line_index", "word_index").withColumn("match", F.col("match") - 1)
 
 
 def first_match(matches: DataFrame, current_page: Column) -> DataFrame:
@@ -33,8 +44,8 @@ def first_match(matches: DataFrame, current_page: Column) -> DataFrame:
 
 def next_previous(matches: DataFrame) -> DataFrame:
     """matches with the next and previous match, around the ends."""
-    n = F.count(F.lit(1)).over(W.partitionBy("book_id"))
-    return matches.withColumn("_n", n).withColumns({"next_match": ((F.col("match") + 1) % F.col("_n")).cast("int"), "previous_match": ((F.col("match") - 1 + F.col("_n")) % F.col("_n")).cast("int")}).drop("_n")
+    n = matches.groupBy("book_id").agg(F.count(F.lit(1)).alias("_n"))
+    return matches.join(n, "book_id").withColumns({"next_match": ((F.col("match") + 1) % F.col("_n")).cast("int"), "previous_match": ((F.col("match") - 1 + F.col("_n")) % F.col("_n")).cast("int")}).drop("_n")
 
 
 def toc_pages(toc: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
@@ -55,6 +66,18 @@ def current_entry(toc_paged: DataFrame, current: DataFrame) -> DataFrame:
     return rows.withColumn("_in", passed).groupBy("book_id").agg(F.coalesce(F.max(F.when(F.col("_in") == 1, F.col("toc_index"))), F.lit(0)).alias("toc_index"))
 
 
+def contents_list(toc_paged: DataFrame, current: DataFrame) -> DataFrame:
+    """(book_id, toc_index, level, title, page, selected) for the books of current(book_id, current_page): selected is the entry to begin at."""
+    rows = toc_paged.select("book_id", "toc_index", "level", "title", "page")
+    chosen = current_entry(toc_paged, current).select("book_id", F.col("toc_index").alias("_at"))
+    return rows.join(chosen, "book_id").withColumn("selected", F.col("toc_index") == F.col("_at")).drop("_at")
+
+
+def scroll_offset(selected: int, visible: int, offset: int = 0) -> int:
+    """The first entry to show of a list, so that the selected one is among the visible ones and the list moves no more than it must."""
+    return min(selected, max(offset, selected - max(1, visible) + 1))
+
+
 def goto_page(wanted: Column, total: Column) -> Column:
     return F.least(F.greatest(wanted, F.lit(1)), total)
 
@@ -97,9 +120,19 @@ def carry_titles(rows: DataFrame, title: Column, order: str, seed: Column, *key:
     return rows.withColumn("section_title", F.coalesce(F.last(title, ignorenulls=True).over(window), seed))
 
 
+def first_bookmarks(pages: DataFrame, *order: str) -> DataFrame:
+    """(book_id, bookmarks) of pages(book_id, page, ...): the first 256 in that order; no more than those are gathered."""
+    place = F.row_number().over(W.partitionBy("book_id").orderBy(*order))
+    first = pages.withColumn("place", place).where(F.col("place") <= C.MAX_BOOKMARKS)
+    return first.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "page"))), lambda x: x["page"]).alias("bookmarks"))
+
+
 def info_lines(books: DataFrame, toc: DataFrame) -> DataFrame:
-    """(book_id, line_no, line): a header, then the contents by level."""
+    """(book_id, line_no, line): a header of books(book_id, title, author, language, chapters), then the contents by level."""
     mapped = F.when(F.col("spine_index") >= 0, F.concat(F.lit(" (Spine item "), (F.col("spine_index") + 1).cast("string"), F.lit(")"))).otherwise("")
-    contents = toc.select("book_id", (F.col("toc_index") + 100).alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("• "), "title", mapped).alias("line"))
-    head = F.array(*(F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for label, c in (("Title", "title"), ("Author", "author"), ("Language", "language"), ("Chapters", "chapters"))))
-    return books.select("book_id", F.posexplode(head).alias("line_no", "line")).unionByName(contents)
+    contents = toc.select("book_id", (F.col("toc_index") + 7).alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("• "), "title", mapped).alias("line"))
+    entries = toc.groupBy("book_id").agg(F.count(F.lit(1)).alias("_entries"))
+    known = lambda label, c: F.concat(F.lit(label), F.coalesce(F.col(c), F.lit("Unknown")))
+    number = lambda label, c, what: F.concat(F.lit(label), F.coalesce(F.col(c), F.lit(0)).cast("string"), F.lit(what))
+    head = F.array(known("Title:     ", "title"), known("Author:    ", "author"), known("Language:  ", "language"), number("Chapters:  ", "chapters", " spine documents"), number("TOC Items: ", "_entries", " entries"), F.lit(""), F.lit("Table of Contents:"))
+    return books.join(entries, "book_id", "left").select("book_id", F.posexplode(head).alias("line_no", "line")).unionByName(contents)

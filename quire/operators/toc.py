@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.config import Options
 from quire.functions import text as X
+from quire.operators.navigate import numbered
 
 
 def spine_of(itemrefs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -17,18 +18,6 @@ def spine_of(itemrefs: DataFrame, manifest: DataFrame) -> DataFrame:
     return met.withColumn("spine_index", F.row_number().over(W.partitionBy("book_id").orderBy("pos")) - 1)
 
 
-def ncx_path(books: DataFrame, manifest: DataFrame) -> DataFrame:
-    """books(book_id, spine_toc) with ncx_path: the item the spine names, else the first of the NCX media type."""
-    named = manifest.select("book_id", F.col("id").alias("spine_toc"), "pos", "full_path").groupBy("book_id", "spine_toc").agg(F.min_by("full_path", "pos").alias("_named"))
-    typed = manifest.where("media_type = 'application/x-dtbncx+xml'").groupBy("book_id").agg(F.min_by("full_path", "pos").alias("_typed"))
-    return books.join(named, ["book_id", "spine_toc"], "left").join(typed, "book_id", "left").withColumn("ncx_path", F.coalesce("_named", "_typed")).drop("_named", "_typed")
-
-
-def nav_path(manifest: DataFrame) -> DataFrame:
-    """(book_id, nav_path): the first item whose properties have 'nav' in them."""
-    return manifest.where(F.contains(F.coalesce("properties", F.lit("")), F.lit("nav"))).groupBy("book_id").agg(F.min_by("full_path", "pos").alias("nav_path"))
-
-
 def targets(toc: DataFrame, spine: DataFrame) -> DataFrame:
     """toc(book_id, full_path, ...) with spine_index: the first chapter of that path, -1 for none."""
     first = spine.groupBy("book_id", "full_path").agg(F.min("spine_index").alias("spine_index"))
@@ -62,9 +51,8 @@ def synthesize(toc: DataFrame, spine: DataFrame, blocks: DataFrame, options: Opt
     thin = counted.where((F.col("spine_count") >= 2) & (2 * covered <= F.col("spine_count"))).select("book_id")
     headings = blocks.where((F.col("type") == "HEADING") & (F.coalesce("section_title", F.lit("")) != "")).join(thin, "book_id", "left_semi")
     level = F.when(F.col("heading_level") == 0, 2).otherwise(F.col("heading_level")) - 1
-    serial = F.row_number().over(W.partitionBy("book_id").orderBy("spine_index", "block_index"))
     path = spine.select("book_id", "spine_index", "full_path")
-    new = headings.withColumn("n", serial).join(path, ["book_id", "spine_index"], "left").select("book_id", (F.col("n") - 1).alias("toc_index"), F.col("section_title").alias("title"), "full_path", F.col("anchor_id").alias("anchor"), level.alias("level"), "spine_index", F.col("n").alias("play_order"), F.lit("heading").alias("origin"))
+    new = numbered(headings, "n", "spine_index", "block_index").join(path, ["book_id", "spine_index"], "left").select("book_id", (F.col("n") - 1).alias("toc_index"), F.col("section_title").alias("title"), "full_path", F.col("anchor_id").alias("anchor"), level.alias("level"), "spine_index", F.col("n").alias("play_order"), F.lit("heading").alias("origin"))
     # the fallback says nothing that headings don't, so it goes where it is replaced
     old = toc.where(F.lit(not options.replaces_fallback) | (F.col("origin") != "fallback") | F.col("book_id").isNull()).unionByName(toc.where((F.lit(options.replaces_fallback)) & (F.col("origin") == "fallback")).join(new.select("book_id").distinct(), "book_id", "left_anti"))
     kept = old.join(new.select("book_id", "spine_index", "title").distinct(), ["book_id", "spine_index", "title"], "left_anti")

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import Options
-from quire.functions import text as X
-from quire.operators import cascade, clean, layout, navigate, toc
+from quire.operators import cascade, clean, layout, navigate, render, toc
 from quire.sources import css, html
 from quire.sources.epub import read_books
 
@@ -153,16 +152,44 @@ class Library:
     def search(self, query: str) -> DataFrame:
         return navigate.search(self.words(), query)
 
-    def page(self, book_id: str, number: int, state: dict | None = None) -> DataFrame:
-        """The lines of one page as text, between its header and footer: (row, text)."""
-        total = self.pages.where(F.col("book_id") == book_id).groupBy("book_id").agg(F.count(F.lit(1)).alias("total"))
-        here = self.pages.where((F.col("book_id") == book_id) & (F.col("global_page") == number)).join(total, "book_id").join(self.books.select("book_id", F.col("title").alias("book_title")), "book_id")
-        mark = F.lit("★ " if number in (state or {}).get("bookmarks", ()) else "")
-        head = here.select(F.lit(-1).alias("row"), F.concat_ws("  |  ", "book_title", "section_title").alias("text"))
-        foot = here.select(F.lit(1 << 20).alias("row"), F.concat(mark, F.lit("← Pag. "), F.col("global_page").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" →  [ "), X.progress_percent(F.col("global_page"), F.col("total")).cast("string"), F.lit("% ]")).alias("text"))
-        title = here.where("is_title_page").select(F.lit(0).alias("row"), F.col("section_title").alias("text"))
-        lines = self.lines.where(F.col("book_id") == book_id).join(here.select("book_id", "spine_index", "start_line", "line_count"), ["book_id", "spine_index"]).where("line_index >= start_line AND line_index < start_line + line_count")
-        centred = F.floor((F.lit(self.options.column_width) - F.col("total_width")) / 2).cast("int")
-        text = F.when(F.col("kind") == "hr", F.lit("─── ✦ ───")).otherwise(layout.line_text(F.col("texts"), F.col("spaces_after"), F.when(F.col("is_centered"), F.greatest(centred, F.lit(0))).otherwise(F.col("indent_spaces"))))
-        body = lines.select((F.col("line_index") - F.col("start_line")).alias("row"), text.alias("text"))
-        return head.unionByName(title).unionByName(body).unionByName(foot).orderBy("row")
+    @cached_property
+    def entries(self) -> DataFrame:
+        """(book_id, full_path, content): the chapters' files as they stand in the archive."""
+        return self.parsed.select("book_id", F.explode("contents").alias("c")).select("book_id", "c.full_path", "c.content")
+
+    def contents(self, book_id: str, current_page: int = 1) -> DataFrame:
+        """The contents of a book with their pages, and the entry to begin at."""
+        paged = self.toc_pages.where(F.col("book_id") == book_id)
+        return navigate.contents_list(paged, paged.select("book_id").distinct().withColumn("current_page", F.lit(current_page))).orderBy("toc_index")
+
+    def chapter_page(self, book_id: str, chapter: int) -> int:
+        """The first page of a chapter, counted from 1."""
+        firsts = navigate.chapter_first_pages(self.pages.where((F.col("book_id") == book_id) & (F.col("spine_index") == chapter - 1)))
+        return next((r["first_page"] for r in firsts.collect()), 1)
+
+    def page(self, book_id: str, number: int, state: dict | None = None, query: str = "", clock: str = "", terminal: tuple[int, int] | None = None) -> DataFrame:
+        """One page as rows of a screen: (row, text). state: has bookmarks; query: what is searched for; terminal: its columns and rows."""
+        spark, column = self.parsed.sparkSession, self.options.column_width
+        wide, high = terminal or (column + 4, self.options.page_height + 4)
+        margin = max(0, (wide - column) // 2)
+        pages = self.pages.where(F.col("book_id") == book_id)
+        total, here = pages.count(), pages.where(F.col("global_page") == number).select("spine_index", "start_line", "line_count", "section_title", "is_title_page").collect()
+        title = self.books.where(F.col("book_id") == book_id).select("title").collect()
+        if not here or not title:
+            return spark.createDataFrame([], "row int, text string")
+        one, match = here[0], None
+        if query:
+            found = self.search(query).where(F.col("book_id") == book_id)
+            first = navigate.first_match(found, F.lit(number)).collect()
+            match = (first[0]["match"] + 1, found.count()) if first else None
+        marked = number in (state or {}).get("bookmarks", ())
+        rows = [(0, render.header(title[0]["title"] or "", one["section_title"] or "", column, margin, one["is_title_page"])), (high - 1, render.footer(number, total, marked, match, clock, column, margin, wide))]
+        if one["is_title_page"]:
+            rows += render.title_page(one["section_title"] or "", column, margin, high)
+        around = spark.createDataFrame(rows, "row int, text string")
+        lines = self.lines.where((F.col("book_id") == book_id) & (F.col("spine_index") == one["spine_index"]) & F.col("line_index").between(one["start_line"], one["start_line"] + one["line_count"] - 1))
+        centred = F.greatest(F.floor((F.lit(column) - F.col("total_width")) / 2).cast("int"), F.lit(0))
+        ornament = F.lit(" " * ((column - render.ORNAMENT_WIDTH) // 2) + render.ORNAMENT)
+        text = F.when(F.col("kind") == "hr", ornament).otherwise(layout.line_text(F.col("texts"), F.col("spaces_after"), F.when(F.col("is_centered"), centred).otherwise(F.col("indent_spaces"))))
+        body = lines.select((F.col("line_index") - one["start_line"] + 2).cast("int").alias("row"), F.rtrim(F.concat(F.lit(" " * margin), text)).alias("text"))
+        return around.unionByName(body.where(F.col("row") < high - 2)).orderBy("row")

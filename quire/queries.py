@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire import config as C
 from quire.functions import text as X
 from quire.operators import cascade, clean, navigate, toc
+from quire.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,12 +29,8 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.lines_of(table(spark, sf_dir, "documents"), "source", "doc_id")
+    return clean.lines_of(spread(table(spark, sf_dir, "documents")), "source", "doc_id")
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -84,9 +81,7 @@ count(*) FILTER ({_PAGE_NUMBER})::bigint AS page_numbers, sum(len(words))::bigin
 )
 def pruned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pruning running heads leaves of each book."""
-    rows = clean.counted(_lines(spark, sf_dir))
-    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
-    return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("blocks"), count(F.col("repeats") >= C.RUNNING_HEAD_MIN_REPEATS, "dropped"), count(X.is_page_number("words"), "page_numbers"), F.sum(F.size("words")).alias("words"))
+    return clean.summary(_lines(spark, sf_dir))
 
 
 @query(f"WITH {_LINES}, {_FOLIOS} SELECT book_id, count(*)::bigint AS evidence, count(*) >= 4 AS strip FROM folios GROUP BY book_id")
@@ -95,19 +90,38 @@ def folio_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.strips_folios(_lines(spark, sf_dir))
 
 
-@query(
-    f"""WITH {_LINES}, {_FOLIOS}, strips AS (SELECT book_id FROM folios GROUP BY book_id HAVING count(*) >= 4)
-SELECT book_id, spine_index, block_index, words[-1] AS trimmed_word, (len(words) - 1)::int AS words_left FROM blocks JOIN strips USING (book_id)
-WHERE len(words) >= 8 AND {_IS_DIGITS.format('words[-1]')} AND regexp_extract(words[-1], '^[0-9]*') <> ''"""
-)
+# documents have few page numbers, so here every third line of a chapter ends in one, and every tenth is one
+_PAGED = _LINES.replace("blocks AS", "plain AS") + """,
+blocks AS (SELECT book_id, spine_index, block_index, CASE WHEN block_index % 10 = 9 THEN [(spine_index % 60 + 1)::varchar]
+  WHEN block_index % 3 = 2 THEN list_append(words, (spine_index % 60 + 1)::varchar) ELSE words END AS words FROM plain)"""
+_VERDICT = f"""{_COUNTED.replace(_LINES, _PAGED)}, {_FOLIOS}, strips AS (SELECT book_id FROM folios GROUP BY book_id HAVING count(*) >= 4),
+verdict AS (
+  SELECT c.*, s.book_id IS NOT NULL AND len(words) >= 8 AND {_IS_DIGITS.format('words[-1]')} AND regexp_extract(words[-1], '^[0-9]*') <> '' AS trim,
+    (s.book_id IS NOT NULL AND {_PAGE_NUMBER}) OR coalesce(repeats, 0) >= 4 AS gone
+  FROM counted c LEFT JOIN strips s ON s.book_id = c.book_id)"""
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folio = F.array((F.col("spine_index") % 60 + 1).cast("string"))
+    place = F.col("block_index")
+    paged = _lines(spark, sf_dir).withColumn("words", F.when(place % 10 == 9, folio).when(place % 3 == 2, F.concat("words", folio)).otherwise(F.col("words")))
+    return clean.prune(_typed(paged).withColumn("place", place))
+
+
+@query(f"WITH {_VERDICT} SELECT book_id, spine_index, block_index AS place, words[-1] AS trimmed_word, (len(words) - 1)::int AS words_left FROM verdict WHERE trim AND NOT gone")
 def folio_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs whose last word is a page number that pruning takes off."""
-    blocks = clean.prune(_typed(_lines(spark, sf_dir)))
-    # places count from before pruning here, so they are taken from the lines again
-    source = _lines(spark, sf_dir).join(clean.strips_folios(_lines(spark, sf_dir)).where("strip").select("book_id"), "book_id", "left_semi")
-    trimmed = blocks.where("trimmed_word IS NOT NULL").select("book_id", "spine_index", "trimmed_word", clean.texts().alias("kept")).distinct()
-    rows = source.select("book_id", "spine_index", "block_index", F.element_at("words", -1).alias("trimmed_word"), F.slice("words", 1, F.size("words") - 1).alias("kept"))
-    return rows.join(trimmed, ["book_id", "spine_index", "trimmed_word", "kept"], "left_semi").select("book_id", "spine_index", "block_index", "trimmed_word", F.size("kept").alias("words_left"))
+    trimmed = _pruned(spark, sf_dir).where("trimmed_word IS NOT NULL")
+    return trimmed.select("book_id", "spine_index", "place", "trimmed_word", F.size("words").alias("words_left"))
+
+
+@query(
+    f"""WITH {_VERDICT} SELECT book_id, spine_index, block_index AS place, (row_number() OVER (PARTITION BY book_id, spine_index ORDER BY block_index) - 1)::int AS block_index,
+array_to_string(CASE WHEN trim THEN words[1 : len(words) - 1] ELSE words END, ' ') AS line_text FROM verdict WHERE NOT gone"""
+)
+def pruned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks that pruning leaves, numbered anew, without their folios."""
+    return _pruned(spark, sf_dir).select("book_id", "spine_index", "place", "block_index", clean.plain_text().alias("line_text"))
 
 
 def _typed(lines: DataFrame) -> DataFrame:
@@ -152,11 +166,11 @@ def _conversation_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPINE = "spine AS (SELECT conv_id AS book_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1)::int AS spine_index, turn, role, text, 'turn' || turn || '.xhtml' AS full_path FROM conversations)"
 
 
-@query(f"WITH {_SPINE} SELECT book_id, spine_index AS toc_index, 'Chapter ' || (spine_index + 1) AS title, full_path, 0::int AS level FROM spine WHERE book_id % 2 = 0")
+@query(f"WITH {_SPINE} SELECT book_id, spine_index AS toc_index, 'Chapter ' || (spine_index + 1) AS title, full_path, 0::int AS level FROM spine WHERE book_id NOT IN (SELECT book_id FROM spine WHERE role = 'system')")
 def toc_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books without contents (here those of even number) get an entry for each chapter."""
+    """Books without contents (here: without a turn of the system) get an entry for each chapter."""
     spine = _conversation_spine(spark, sf_dir)
-    return toc.fallback(spine, spine.where("book_id % 2 = 1")).select("book_id", "toc_index", "title", "full_path", "level")
+    return toc.fallback(spine, spine.where("role = 'system'")).select("book_id", "toc_index", "title", "full_path", "level")
 
 
 @query(
@@ -169,15 +183,15 @@ def toc_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SPINE}, new AS (SELECT book_id, spine_index, left(text, 12) AS title, spine_index AS o, 0 AS part FROM spine WHERE role = 'assistant'),
-old AS (SELECT book_id, spine_index, CASE WHEN turn % 3 = 0 THEN left(text, 12) ELSE 'Turn ' || turn END AS title, spine_index AS o, 1 AS part FROM spine),
+    f"""WITH {_SPINE}, new AS (SELECT book_id, spine_index, text AS title, spine_index AS o, 0 AS part FROM spine WHERE role = 'assistant'),
+old AS (SELECT book_id, spine_index, CASE WHEN turn % 3 = 0 THEN text ELSE 'Turn ' || turn END AS title, spine_index AS o, 1 AS part FROM spine),
 kept AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.book_id = old.book_id AND new.spine_index = old.spine_index AND new.title = old.title))
 SELECT book_id, spine_index, title, (row_number() OVER (PARTITION BY book_id ORDER BY part, o) - 1)::int AS toc_index FROM (SELECT * FROM new UNION ALL SELECT * FROM kept)"""
 )
 def toc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries from headings first, then the old ones that repeat none of them."""
     spine = _conversation_spine(spark, sf_dir)
-    head = F.substring("text", 1, 12)
+    head = F.col("text")
     new = spine.where("role = 'assistant'").select("book_id", "spine_index", head.alias("title"), F.col("spine_index").alias("toc_index"))
     old = spine.select("book_id", "spine_index", F.when(F.col("turn") % 3 == 0, head).otherwise(F.concat(F.lit("Turn "), F.col("turn").cast("string"))).alias("title"), F.col("spine_index").alias("toc_index"))
     kept = old.join(new.select("book_id", "spine_index", "title").distinct(), ["book_id", "spine_index", "title"], "left_anti")
@@ -381,9 +395,8 @@ SELECT book_id, list(page ORDER BY event_id)[1:256] AS bookmarks, count(*)::bigi
 def bookmarks_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmarks in the order they were first set, 256 at most."""
     firsts = _reading_log(spark, sf_dir).groupBy("book_id", "page").agg(F.min("event_id").alias("event_id"))
-    marks = F.array_sort(F.collect_list(F.struct("event_id", "page")))
-    rows = firsts.groupBy("book_id").agg(marks.alias("m"), F.count(F.lit(1)).alias("wanted"))
-    return rows.select("book_id", F.slice(F.transform("m", lambda x: x["page"]), 1, C.MAX_BOOKMARKS).alias("bookmarks"), "wanted")
+    wanted = firsts.groupBy("book_id").agg(F.count(F.lit(1)).alias("wanted"))
+    return navigate.first_bookmarks(firsts, "event_id").join(wanted, "book_id").select("book_id", "bookmarks", "wanted")
 
 
 @query("SELECT user_id AS book_id, arg_max(floor(value)::bigint, row(ts, event_id)) AS page FROM events GROUP BY user_id")
@@ -393,32 +406,120 @@ def state_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SPINE} SELECT book_id, spine_index, coalesce(last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER
+    f"""WITH {_SPINE} SELECT book_id, spine_index, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER
 (PARTITION BY book_id ORDER BY spine_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Chapter') AS section_title FROM spine"""
 )
 def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section that each chapter falls in: the last title so far."""
-    title = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    title = F.when(F.col("role") == "user", F.col("text"))
     return navigate.carry_titles(_conversation_spine(spark, sf_dir), title, "spine_index", F.lit("Chapter"), "book_id").select("book_id", "spine_index", "section_title")
 
 
 @query(
     """WITH c AS (SELECT source AS book_id, doc_id, lang, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::int AS n FROM documents),
-b AS (SELECT book_id, count(*)::bigint AS chapters, min(lang) AS language FROM c GROUP BY book_id)
-SELECT book_id, 0::int AS line_no, 'Title: ' || book_id AS line FROM b UNION ALL SELECT book_id, 1, 'Author: Unknown Author' FROM b
-UNION ALL SELECT book_id, 2, 'Language: ' || language FROM b UNION ALL SELECT book_id, 3, 'Chapters: ' || chapters FROM b
-UNION ALL SELECT book_id, n + 99, repeat('  ', (n % 3)::int) || '• ' || 'Document ' || doc_id || CASE WHEN n % 5 = 0 THEN '' ELSE ' (Spine item ' || n || ')' END FROM c"""
+b AS (SELECT book_id, count(*)::bigint AS chapters, min(lang) AS language FROM c GROUP BY book_id),
+h AS (SELECT book_id, ['Title:     ' || book_id, 'Author:    Unknown', 'Language:  ' || language, 'Chapters:  ' || chapters || ' spine documents', 'TOC Items: ' || chapters || ' entries', '', 'Table of Contents:'] AS ls FROM b)
+SELECT book_id, unnest(range(0, 7))::int AS line_no, unnest(ls) AS line FROM h
+UNION ALL SELECT book_id, n + 6, repeat('  ', (n % 3)::int) || '• ' || 'Document ' || doc_id || CASE WHEN n % 5 = 0 THEN '' ELSE ' (Spine item ' || n || ')' END FROM c"""
 )
 def info_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header and the contents of every book as lines of text."""
     docs = table(spark, sf_dir, "documents")
     n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
     chapters = docs.select(F.col("source").alias("book_id"), "doc_id", "lang", n.alias("n"))
-    books = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.min("lang").alias("language")).withColumns({"title": F.col("book_id"), "author": F.lit("Unknown Author")})
+    books = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.min("lang").alias("language")).withColumns({"title": F.col("book_id"), "author": F.lit(None).cast("string")})
     entries = chapters.select("book_id", (F.col("n") - 1).alias("toc_index"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), (F.col("n") % 3).alias("level"), F.when(F.col("n") % 5 == 0, -1).otherwise(F.col("n") - 1).alias("spine_index"))
     return navigate.info_lines(books, entries)
 
 
+def _state_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state file for each type of event: a section for each event, its header padded, a line that only looks like one, and keys of which some repeat."""
+    e, page = table(spark, sf_dir, "events"), F.floor("value").cast("string")
+    text = F.array(
+        F.concat(F.lit("  [BOOK:"), F.col("user_id").cast("string"), F.lit("] ")),
+        F.lit("[not a header"),
+        F.concat(F.lit("last_page="), page),
+        F.concat(F.lit("theme = "), (F.col("event_id") % 4).cast("string"), F.lit(" or so")),
+        F.when(F.col("event_id") % 3 == 0, "full_justify=0").otherwise("no key"),
+        F.concat(F.lit("bookmarks="), page, F.lit(",0,,x, 12")),
+        F.concat(F.lit("bookmarks=99999999999999999999,"), F.col("event_id").cast("string")),
+    )
+    return e.select(F.col("event_type").alias("file"), (F.col("event_id") * 10).alias("_at"), F.posexplode(text).alias("_n", "value")).select("file", (F.col("_at") + F.col("_n")).alias("line_no"), "value")
+
+
+_STATES = """firsts AS (SELECT event_type AS file, user_id::varchar AS book_id, min(event_id) AS event_id FROM events GROUP BY ALL),
+of_file AS (SELECT file, book_id, e.event_id, floor(value)::bigint AS page FROM firsts f JOIN events e ON e.event_id = f.event_id AND e.event_type = f.file),
+states AS (SELECT book_id, greatest(page, 1) AS last_page, (event_id % 4)::int AS theme, 0::int AS column_width, event_id % 3 <> 0 AS full_justify, 0::int AS paragraph_style,
+  list_filter([page, 12, 9223372036854775807, event_id], lambda x: x > 0) AS bookmarks FROM of_file QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY file) = 1)"""
+
+
+@query(f"WITH {_STATES} SELECT * FROM states")
+def state_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading states from the lines of their files."""
+    from quire.sources import state
+
+    return state.parse_states(_state_lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_STATES}, new AS (SELECT user_id::varchar AS book_id, 1::bigint AS last_page FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) WHERE n % 2 = 0)
+SELECT book_id, last_page FROM states WHERE book_id NOT IN (SELECT book_id FROM new) UNION ALL SELECT book_id, last_page FROM new"""
+)
+def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States with those of some books replaced."""
+    from quire.sources import state
+
+    old = state.parse_states(_state_lines(spark, sf_dir)).select("book_id", "last_page")
+    n = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("book_id")).agg(F.count(F.lit(1)).alias("n"))
+    return state.upsert(old, n.where("n % 2 = 0").select("book_id", F.lit(1).cast("bigint").alias("last_page")))
+
+
+_TOC = f"""{_SPINE},
+old AS (SELECT book_id, spine_index AS toc_index, 'Turn ' || turn AS title, spine_index FROM spine WHERE role = 'system'),
+headings AS (SELECT book_id, spine_index, text AS title, (row_number() OVER (PARTITION BY book_id ORDER BY spine_index))::int AS n FROM spine
+  WHERE role = 'assistant' AND text <> '' AND book_id IN (SELECT book_id FROM spine GROUP BY book_id HAVING count(*) >= 2 AND 2 * count(*) FILTER (role = 'system') <= count(*))),
+both_ AS (SELECT book_id, spine_index, title, 0 AS part, n - 1 AS i FROM headings UNION ALL SELECT book_id, spine_index, title, 1, toc_index FROM old)"""
+
+
+@query(f"WITH {_TOC} SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY part, i) - 1)::int AS toc_index, title, spine_index, CASE part WHEN 0 THEN 'heading' ELSE 'nav' END AS origin FROM both_")
+def toc_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that name half of the chapters or less (here: those of the system) get an entry for each heading (here: the assistant's turns)."""
+    spine = _conversation_spine(spark, sf_dir)
+    old = spine.where("role = 'system'").select("book_id", F.col("spine_index").alias("toc_index"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), "full_path", F.lit(None).cast("string").alias("anchor"), F.lit(0).alias("level"), "spine_index", F.lit(0).alias("play_order"), F.lit("nav").alias("origin"))
+    blocks = spine.where("role = 'assistant'").select("book_id", "spine_index", F.lit(0).alias("block_index"), F.lit("HEADING").alias("type"), F.lit(2).alias("heading_level"), F.lit(None).cast("string").alias("anchor_id"), F.col("text").alias("section_title"))
+    return toc.synthesize(old, spine, blocks).select("book_id", "toc_index", "title", "spine_index", "origin")
+
+
+@query(
+    f"""WITH {_SPINE} SELECT book_id, spine_index, CASE WHEN role = 'assistant' AND text <> '' THEN text
+WHEN role = 'user' THEN 'Turn ' || turn ELSE 'Conversation ' || book_id END AS chapter_title FROM spine"""
+)
+def layout_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title that each chapter is set under: that of its entry (here: the assistant's turns), else its own (the user's), else the book's; junk is none."""
+    spine = _conversation_spine(spark, sf_dir)
+    entries = spine.where("role = 'assistant'").select("book_id", F.col("spine_index").alias("toc_index"), F.col("text").alias("title"), F.lit(None).cast("string").alias("anchor"), "spine_index")
+    junk = spine.where("role = 'user'").select("book_id", (F.col("spine_index") + 1000).alias("toc_index"), F.lit("Indice").alias("title"), F.lit("gone").alias("anchor"), "spine_index")
+    own = F.when(F.col("role") == "user", F.concat(F.lit("Turn "), F.col("turn").cast("string"))).otherwise("Chapter")
+    blocks = spine.select("book_id", "spine_index", F.lit(None).cast("string").alias("anchor_id"))
+    books = spine.select("book_id").distinct().withColumn("title", F.concat(F.lit("Conversation "), F.col("book_id").cast("string")))
+    titled = toc.layout_titles(spine.select("book_id", "spine_index", own.alias("title")), entries.unionByName(junk), blocks, books)
+    return titled.select("book_id", "spine_index", "chapter_title")
+
+
+@query(
+    f"""WITH {_PAGES}, named AS (SELECT book_id, spine_index, min(global_page) AS page FROM pages_ GROUP BY ALL),
+listed AS (SELECT book_id, spine_index AS toc_index, spine_index % 2 AS level, 'Chapter ' || (spine_index + 1) AS title, page FROM named)
+SELECT book_id, toc_index, level::int AS level, title, page, toc_index = coalesce(max(toc_index) FILTER (page <= 5) OVER (PARTITION BY book_id), 0) AS selected FROM listed"""
+)
+def contents_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents as they are shown on page 5, with the entry to begin at."""
+    pages = _chapter_pages(spark, sf_dir).withColumns({"anchor_id": F.lit(None).cast("string"), "start_line": F.lit(0), "line_count": F.lit(0)})
+    entries = pages.select("book_id", "spine_index").distinct().select("book_id", F.col("spine_index").alias("toc_index"), (F.col("spine_index") % 2).alias("level"), X.fallback_title(F.col("spine_index")).alias("title"), "spine_index", F.lit(None).cast("string").alias("anchor"))
+    lines = pages.select("book_id", "spine_index", "anchor_id", F.lit(0).alias("line_index")).where("false")
+    paged = navigate.toc_pages(entries, pages, lines)
+    return navigate.contents_list(paged, entries.select("book_id").distinct().withColumn("current_page", F.lit(5))).select("book_id", "toc_index", "level", "title", "page", "selected")
+
+
 # what is parsed or folded
 
 
@@ -486,19 +587,28 @@ def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _widths(spark, sf_dir).select("spine_index", "block_index", word_lines(F.col("widths"), 66, 4, 0).alias("n_lines"))
 
 
+_FOLD = f"""RECURSIVE {_LINES}, w AS (SELECT book_id, spine_index, block_index, list_transform(words, lambda x: length(x)) AS ws FROM blocks),
+fold AS (SELECT spine_index, block_index, ws, 1 AS i, 1 AS n, (4 + ws[1])::bigint AS used FROM w
+  UNION ALL SELECT spine_index, block_index, ws, i + 1, CASE WHEN used + 1 + ws[i + 1] > 66 THEN n + 1 ELSE n END, CASE WHEN used + 1 + ws[i + 1] > 66 THEN ws[i + 1] ELSE used + 1 + ws[i + 1] END
+  FROM fold WHERE i < len(ws)),
+typeset AS (SELECT spine_index, block_index, n, list(ws[i] ORDER BY i) AS ws, CASE WHEN n = 1 THEN 4 ELSE 0 END AS indent, n = max(n) OVER (PARTITION BY spine_index, block_index) AS last FROM fold GROUP BY spine_index, block_index, n)"""
+
+
 @query(
-    f"""WITH {_LINES}, w AS (SELECT spine_index, block_index, list_transform(words[1:8], lambda x: length(x)) AS ws FROM blocks),
-s AS (SELECT *, len(ws) - 1 AS gaps, 66 - list_sum(ws) - 4 AS need FROM w),
-f AS (SELECT *, gaps > 0 AND need >= gaps AND need - gaps <= 33 AS fits FROM s)
-SELECT spine_index, block_index, list_transform(range(0, len(ws)), lambda i: (CASE WHEN i = gaps THEN 0 WHEN NOT fits THEN 1 ELSE need // greatest(gaps, 1) +
-CASE WHEN (block_index + 1) % 2 = 0 THEN (i < need % greatest(gaps, 1))::int ELSE (i >= gaps - need % greatest(gaps, 1))::int END END)::int) AS spaces_after FROM f"""
+    f"""WITH {_FOLD},
+s AS (SELECT *, len(ws) - 1 AS gaps, 66 - list_sum(ws) - indent AS need FROM typeset),
+f AS (SELECT *, NOT last AND gaps > 0 AND need >= gaps AND need - gaps <= 33 AS fits FROM s)
+SELECT spine_index, block_index, (n - 1)::int AS line, list_transform(range(0, len(ws)), lambda i: (CASE WHEN i = gaps THEN 0 WHEN NOT fits THEN 1 ELSE need // greatest(gaps, 1) +
+CASE WHEN n % 2 = 0 THEN (i < need % greatest(gaps, 1))::int ELSE (i >= gaps - need % greatest(gaps, 1))::int END END)::int) AS spaces_after FROM f"""
 )
 def justify_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spaces that stretch the first eight words of each line over 66 cells."""
+    """Spaces that stretch every line of each paragraph over 66 cells, but for its last."""
     from quire.operators.layout import justify_spaces as spaces
+    from quire.operators.layout import wrapped
 
-    rows = _widths(spark, sf_dir).withColumn("widths", F.slice("widths", 1, 8))
-    return rows.select("spine_index", "block_index", spaces(F.col("widths"), F.lit(4), F.lit(66), F.col("block_index") + 1, F.lit(True)).alias("spaces_after"))
+    rows = wrapped(_widths(spark, sf_dir), 66, 4, 0, "spine_index", "block_index")
+    stretched = spaces(F.col("widths"), F.col("indent"), F.lit(66), F.col("line") + 1, ~F.col("is_last"))
+    return rows.select("spine_index", "block_index", "line", stretched.alias("spaces_after"))
 
 
 @query()

@@ -147,7 +147,7 @@ def test_library_contents(library):
     assert [t.title for t in toc] == [*(f"Chapter {i} opens" for i in range(1, 5)), "Start", "Inner", "Last"]
     assert [t.origin for t in toc][-1] == "ncx" and toc[4].anchor == "top"
     lines = [r.line for r in library.info().orderBy("line_no").collect()]
-    assert lines[0] == "Title: Il danno" and "• Chapter 2 opens (Spine item 2)" in lines and "  • Inner (Spine item 1)" in lines
+    assert lines[0] == "Title:     Il danno" and lines[3:7] == ["Chapters:  4 spine documents", "TOC Items: 7 entries", "", "Table of Contents:"] and "• Chapter 2 opens (Spine item 2)" in lines and "  • Inner (Spine item 1)" in lines
 
 
 def test_library_pages(library):
@@ -164,8 +164,43 @@ def test_library_pages(library):
     assert all(found[f"Chapter {i + 1} opens"] == first[i] for i in range(4)) and found["Inner"] == 1
     hits = library.search("GOES").orderBy("match").collect()
     assert len(hits) == 12 and hits[0].global_page == 2
-    text = [r.text for r in library.page(pages[0].book_id, 2, {"bookmarks": [2]}).collect()]
-    assert text[-1].startswith("★ ← Pag. 2/") and text[1].startswith("    Word by word")
+    book_id = pages[0].book_id
+    rows = {r.row: r.text for r in library.page(book_id, 2, {"bookmarks": [2]}).collect()}
+    assert rows[9].startswith(f"  ★ ← Pag. 2/{len(pages)} →") and rows[2].startswith("      Word by word") and rows[0].startswith("  Il danno")
+    rows = {r.row: r.text for r in library.page(book_id, 2, query="goes", clock="2:34am", terminal=(80, 24)).collect()}
+    assert rows[23].startswith(" " * 20 + "← Pag. 2/") and "[Match 1 of 12]" in rows[23] and rows[23].endswith("2:34am") and len(rows[23]) == 60
+    title = {r.row: r.text for r in library.page(book_id, 1, terminal=(60, 24)).collect()}
+    assert [t.strip() for t in title.values()] == ["Il danno", "Chapter 1 opens", "─── ✦ ───", title[23].strip()] and title[23].strip().startswith(f"Pag. 1/{len(pages)} →")
+    assert library.page(book_id, len(pages) + 1).count() == 0
+    listed = library.contents(book_id, 3).collect()
+    assert [r.title for r in listed if r.selected] == ["Chapter 1 opens"] or sum(r.selected for r in listed) == 1
+    assert library.chapter_page(book_id, 2) == first[1] and library.entries.count() == 4
+
+
+def test_command(spark, tmp_path, capsys):
+    from quire.__main__ import main
+
+    (tmp_path / "b.epub").write_bytes(sample())
+    (tmp_path / "bad.epub").write_bytes(b"?")
+    assert main([str(tmp_path / "b.epub"), "-c", "2"]) == 0 and "Chapter 2 opens" in capsys.readouterr().out
+    assert main([str(tmp_path / "bad.epub")]) == 1 and main([]) == 1 and "ERROR" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        main(["--version"])
+
+
+def test_render():
+    from datetime import datetime
+
+    from quire.operators import navigate, render
+
+    assert render.header("A" * 40, "Section", 40, 2) == "  " + "A" * 17 + "…" + " " * 15 + "Section"
+    assert render.header("Book", "", 40, 0) == "Book" and render.header("Book", "Section", 40, 0, True) == "Book"
+    assert render.footer(1, 3, False, None, "", 40, 0, 40) == "  Pag. 1/3 →    [ 33% ]"
+    assert render.footer(3, 3, True, (1, 2), "1:05pm", 60, 0, 60).startswith("★ ← Pag. 3/3  ") and render.footer(3, 3, True, (1, 2), "1:05pm", 60, 0, 60).endswith("1:05pm")
+    assert [render.clock_text(datetime(2024, 1, 1, h, 5)) for h in (0, 2, 12, 23)] == ["12:05am", "2:05am", "12:05pm", "11:05pm"]
+    assert render.title_page("One Two", 20, 1, 5) == [] or render.title_page("One Two", 20, 1, 24)[0] == (7, " " * 7 + "One Two")
+    assert len(render.title_rows(" ".join(["word"] * 900), 4)) == 4
+    assert [navigate.scroll_offset(s, 5, o) for s, o in ((0, 0), (4, 0), (5, 0), (2, 4), (9, 7))] == [0, 0, 1, 2, 7]
 
 
 def test_fallback_and_synthesis(spark, tmp_path):
@@ -202,5 +237,11 @@ def test_states(spark, tmp_path):
     state.save_states(state.upsert(old, new), str(tmp_path / "out"))
     again = {r.book_id: r for r in state.load_states(spark, str(tmp_path / "out")).collect()}
     assert again["b"].last_page == 9 and again["a:1:2"] == a
+    odd = """  [BOOK:o]  \nlast_page = 99999999999999999999\n[not a header\ntheme=2 or so\nfull_justify=no\nbookmarks=5\nbookmarks=6,-7\n[OTHER]\ntheme=9\n"""
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "1").write_text(odd)
+    (tmp_path / "odd" / "2").write_text("[BOOK:o]\ntheme=7\n")
+    (o,) = state.load_states(spark, str(tmp_path / "odd")).collect()
+    assert (o.last_page, o.theme, o.full_justify, o.bookmarks) == ((1 << 63) - 1, 2, False, [5, 6])
     (tmp_path / "many").write_text("[BOOK:m]\nbookmarks=" + ",".join(map(str, range(1, 400))))
     assert len(state.load_states(spark, str(tmp_path / "many")).first().bookmarks) == 256
