@@ -211,14 +211,29 @@ def _prefix(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([distinct[~late], distinct[late]])[: n + 1 - (4 * n + 4) // 5]
 
 
+#: Bits of each of the two maps that bound how many shingles two sets share.
+MAP_BITS = 512
+MAPS = [f"m{i}" for i in range(MAP_BITS // 32)]
+
+
+def _maps(distinct: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which hash cells have a shingle, and which have two, as 64-bit words, one map after the other; and the number of shingles beyond two in their cells.
+
+    Two sets share at most as many shingles as their first maps have cells in common, and their second, and the lesser number beyond.
+    """
+    cells = np.bincount((_mixed(distinct) >> np.uint64(55)).astype(np.int64), minlength=MAP_BITS)
+    bits = np.concatenate([np.packbits(cells > 0), np.packbits(cells > 1)])
+    return bits.view(np.int64), int(np.maximum(cells - 2, 0).sum())
+
+
 def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
-    """(row, doc_id, node, f0, ..., n, plain, keys) of docs(row, doc_id, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated; keys: for the first row of a node in each task."""
+    """(row, doc_id, node, f0, ..., m0, ..., beyond, n, plain, keys) of docs(row, doc_id, text); node: equal for equal fingerprints and sets of shingles; plain: none is repeated; keys: for the first row of a node in each task."""
     words = index.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in blocks(batches):
-            nodes, prints, sizes, plain, keys = [], [], [], [], []
+            nodes, prints, sizes, plain, keys, maps = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, index.shingle)
                 found, distinct = _voted(hashes, words), np.unique(hashes)
@@ -226,14 +241,17 @@ def _sketches(docs: DataFrame, index: Index, common: np.ndarray) -> DataFrame:
                 keys.append((_prefix(distinct, common) if nodes[-1] not in seen else distinct[:0]).view(np.int64))
                 seen.add(nodes[-1])
                 prints.append(found)
+                maps.append(_maps(distinct))
                 sizes.append(len(distinct))
                 plain.append(len(distinct) == len(hashes))
             found = np.array(prints).reshape(-1, words).view(np.int64)
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", *(f"f{w}" for w in range(words)), "n", "plain", "keys"])
+            words_of = np.array([m for m, _ in maps]).reshape(-1, len(MAPS))
+            bounds = [*(pa.array(words_of[:, i]) for i in range(len(MAPS))), pa.array([b for _, b in maps], pa.int64())]
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(found[:, w]) for w in range(words)), *bounds, pa.array(sizes, pa.int64()), pa.array(plain, pa.bool_()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", *(f"f{w}" for w in range(words)), *MAPS, "beyond", "n", "plain", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"row string, doc_id {kind}, node bigint, " + ", ".join(f"f{w} bigint" for w in range(words)) + ", n bigint, plain boolean, keys array<bigint>")
+    return docs.mapInArrow(run, f"row string, doc_id {kind}, node bigint, " + ", ".join(f"{c} bigint" for c in [*(f"f{w}" for w in range(words)), *MAPS, "beyond"]) + ", n bigint, plain boolean, keys array<bigint>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -270,15 +288,16 @@ def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) ->
     sketches = checkpointed(_sketches(docs.select("row", "doc_id", "text"), index, np.sort(common)))
     prints = checkpointed(sketches.drop("keys"))
     # all rows of a node have the same shingles; row: the one whose text stands for it
-    heads = checkpointed(prints.groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in (*names, "n", "plain"))))
+    heads = checkpointed(prints.groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in (*names, *MAPS, "beyond", "n", "plain"))))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names))
-    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, "n", "plain", "row")))
+    of = lambda c: heads.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in (*names, *MAPS, "beyond", "n", "plain", "row")))
+    shared = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}"))) for m in MAPS)) + F.least("a_beyond", "b_beyond")
     # two sets that share m of x + y - m shingles are alike when 9 m >= 4 (x + y); m is at most the smaller of both
     enough = lambda m, x, y: 9 * m >= 4 * (x + y)
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with both sides' rows and sizes and their complete distance, where that and the sizes allow it."""
-        met = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("apart", apart).where(enough(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n")))
+        """pairs(a, b) with both sides' rows and sizes and their complete distance, where that and the most shingles that they can share allow it."""
+        met = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("apart", apart).where(enough(F.least("a_n", "b_n", shared), F.col("a_n"), F.col("b_n")))
         return met.where((F.col("apart") <= index.distance) | ~F.col("a_plain") | ~F.col("b_plain")).select("a", "b", "a_n", "b_n", "a_row", "b_row", "apart")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +373,8 @@ def near_copies(docs: DataFrame, index: Index = NEAR_COPIES, id_column: str = "d
     of each bucket it finds. No radius that can be looked up reaches all pairs of 0.8 (they differ in
     78 of 512 bits on average), so texts meet by the shingles that come first in one order of all, too (prefix and positional filter),
     which every pair of 0.8 does. Each text is compared with the nearest of the first texts it met, by the complete distance, and counted
-    out exactly. Only texts that share a bucket and aren't in one component by then are compared in pairs, where sizes, places and the complete
-    distance allow it. So a group of near copies costs few comparisons per text, and leads to the same components as all its pairs would.
+    out exactly. Only texts that share a bucket and aren't in one component by then are compared in pairs, where sizes, places, the complete
+    distance and maps of hash cells, which bound what two sets share, allow it. So a group of near copies costs few comparisons per text, and leads to the same components as all its pairs would.
     """
     rows = _grouped(docs, index, id_column, text_column)
     least = checkpointed(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
