@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.tables import spread, table
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: For bytes.translate: A-Z to a-z, all else as it is.
@@ -19,12 +21,8 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = " \t\n\x0b\f\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
+    return spread(table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
 
 
 def shared_folder(spark: SparkSession) -> str:
