@@ -1,10 +1,14 @@
 """Every query of the library against its SQL, or for what SQL can't express, that it gives rows."""
 
+import re
+
 import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
-from quire import queries
+from quire import config, queries
+from quire.config import Options
+from quire.functions.width import text_width
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -19,3 +23,34 @@ def test_query(spark, same_as_sql, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def plain_pages(doc_id, text):
+    """(start, count, is_title_page) of each page of a document set as a chapter of plain paragraphs: words laid down one by one, pages filled line by line."""
+    options, title, count = Options(), f"document {doc_id}", 0
+    for paragraph in text.split("\n"):
+        words = [w for w in re.split("[ \t\r\xa0]+", paragraph) if w]
+        joined = " ".join(words)
+        folded = re.sub("[A-Z]", lambda m: m[0].lower(), joined.replace("...", "…"))
+        if not words or (not count and len(words) <= config.TITLE_REPEAT_MAX_WORDS and len(joined.encode()) >= 2 and (title in folded or folded in title)):
+            continue
+        count, room = count + 1, options.column_width - 4
+        for i, w in enumerate(words):
+            width = text_width(w)
+            if i and room < width + 1:
+                count, room = count + 1, options.column_width - width
+            else:
+                room -= width + (i > 0)
+    return [(0, 0, True)] + [(s, min(options.page_height, count - s), False) for s in range(0, count, options.page_height)]
+
+
+def test_paginate_as_plainly(spark):
+    """Pages of every document, numbered over its source, against a plain version."""
+    docs = sorted((r.source, r.doc_id, r.text) for r in queries.table(spark, SF, "documents").collect())
+    want, number = [], {}
+    for source, doc_id, text in docs:
+        for k, page in enumerate(plain_pages(doc_id, text or ""), 1):
+            number[source] = number.get(source, 0) + 1
+            want.append((source, doc_id, k, *page, f"Document {doc_id}", number[source]))
+    got = [(r.book_id, r.spine_index, r.page_in_chapter, r.start_line, r.line_count, r.is_title_page, r.section_title, r.global_page) for r in entry.queries()["paginate"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
