@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import blocks, lower_ascii
+from quire.llm.common import blocks, checkpointed, discard, lower_ascii
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is taken for a real secret.
@@ -49,6 +49,8 @@ server database system network service default changeme example sample test user
 token key pass word demo temp null none true false your insert here placeholder redacted""".split()
 #: Words of the corpus that are ranked, and the most letters such a word has.
 DICTIONARY, MOST_LETTERS = 20_000, 30
+#: So many times as many words as are ranked are looked at in the end.
+SHARES = 50
 # Rows of keys, and the orders that are typed as such.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "1qaz2wsx3edc4rfv5tgb6yhn7ujm")
 #: After a key, each row and direction in which another key follows.
@@ -118,10 +120,17 @@ PLAIN = Guesser()
 
 
 def dictionary(docs: DataFrame, text_column: str = "text", most: int = DICTIONARY) -> list[str]:
-    """The words that the most documents have, most common first and by the alphabet where equal; counted over all texts."""
+    """The words that the most documents have, most common first and by the alphabet where equal; counted over all texts.
+
+    Only words that make up 1 / (SHARES * most) of what is counted are put in order, of which there can't be more than SHARES * most, however large the corpus.
+    """
     words = F.filter(F.array_distinct(F.split(lower_ascii(F.col(text_column)), "[^a-z]+")), lambda w: F.length(w).between(3, MOST_LETTERS))
-    counts = docs.select(F.explode(words).alias("word")).groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
+    counts = checkpointed(docs.select(F.explode(words).alias("word")).groupBy("word").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    common = counts.where(F.col("count") * (SHARES * most) >= total)
+    found = [r["word"] for r in common.orderBy(F.desc("count"), "word").limit(most).collect()]
+    discard(counts)
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
