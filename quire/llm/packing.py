@@ -35,6 +35,8 @@ WINDOW = 1024
 SHARD_DOCUMENTS, SHARD_TOKENS = 512, 1_000_000
 END = 0
 VOCABULARY, KEYS = 1 << 16, 3
+#: Of token ids that a task should read at most.
+TASK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 
@@ -79,7 +81,7 @@ class Corpus:
     """What an index needs to know of the whole corpus: documents, documents with each id, tokens in all."""
 
     def __init__(self, documents: int, frequencies: np.ndarray, tokens: int) -> None:
-        self.mean = max(1, tokens) / max(1, documents)
+        self.tokens, self.mean = tokens, max(1, tokens) / max(1, documents)
         self.idf = np.log1p((documents - frequencies + 0.5) / (frequencies + 0.5))
 
 
@@ -263,5 +265,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_colu
             yield given(packer.close())
 
     columns = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    ordered = rows.where("ids IS NOT NULL").select("doc_id", "ids", "key", "place").repartitionByRange("key", "place").sortWithinPartitions("key", "place")
+    # as many ranges as Spark is set to, and more of them where they would be larger than TASK_BYTES
+    needed = -(-2 * corpus.tokens // TASK_BYTES)
+    more = [needed] if needed > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = rows.where("ids IS NOT NULL").select("doc_id", "ids", "key", "place").repartitionByRange(*more, "key", "place").sortWithinPartitions("key", "place")
     return ordered.select("doc_id", "ids").mapInArrow(run, columns)

@@ -482,6 +482,11 @@ def test_packing_query(spark, texts, file_tokenizer):
     check_packed(entry.queries()["op2_packing"](spark, SF).collect(), dict(texts), file_tokenizer)
 
 
+def test_packing_in_more_ranges(spark, monkeypatch, texts, file_tokenizer):
+    monkeypatch.setattr(packing, "TASK_BYTES", 20_000)
+    check_packed(entry.queries()["op2_packing"](spark, SF).collect(), dict(texts), file_tokenizer)
+
+
 def test_packing_messy(spark, file_tokenizer):
     rows = [(i, *r[1:]) for i, r in enumerate(messy.ROWS)]
     args = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
