@@ -61,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver collect what it no longer needs, upon which Spark drops the shuffle files of tables that are written."""
+    """Has the driver collect what it no longer needs, upon which Spark drops the shuffle files and broadcasts of tables that are written; else the driver's heap grows to its limit before it is collected."""
     spark._jvm.System.gc()
 
 

@@ -260,7 +260,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _common(docs: DataFrame, index: Index) -> np.ndarray:
-    """The most common shingles of a sample of docs(content, text), most common first."""
+    """The most common shingles of a sample of docs(content, text), most common first. An executor ranks them; the driver gets no more than these, as Arrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -270,8 +270,11 @@ def _common(docs: DataFrame, index: Index) -> np.ndarray:
 
     sample = docs.where(F.pmod("content", F.lit(SAMPLE)) == 0).select("text")
     counts = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    return np.array([r.key for r in rows], np.int64).view(np.uint64)
+    most = checkpointed(counts.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON))
+    got = most.toArrow()
+    discard(most)
+    key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+    return key[np.lexsort((key, -n))].view(np.uint64)
 
 
 def _row(id_column: str, text_column: str) -> Column:
@@ -285,6 +288,7 @@ def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) ->
     docs = docs.select(_row(id_column, text_column).alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("content"), F.col(text_column).alias("text"))
     names = [f"f{w}" for w in range(index.words)]
     common = _common(docs, index)
+    release(docs.sparkSession)
     sketches = checkpointed(_sketches(docs.select("row", "doc_id", "text"), index, np.sort(common)))
     prints = checkpointed(sketches.drop("keys"))
     # all rows of a node have the same shingles; row: the one whose text stands for it
@@ -353,6 +357,7 @@ def _grouped(docs: DataFrame, index: Index, id_column: str, text_column: str) ->
     pairs = checkpointed(measured(pairs))
     if not pairs.isEmpty():
         found = found.union(alike(pairs))
+    release(docs.sparkSession)
     roots = checkpointed(rooted(heads.select("node", "rows"), found))
     return checkpointed(spread_join(prints.select("row", "doc_id", "node"), roots, ["node"], "rows").select("row", "doc_id", "root"))
 

@@ -148,6 +148,18 @@ def test_components_are_those_of_all_pairs(spark):
     assert got == plain_groups(rows) and len(set(got.values())) > 100
 
 
+def test_common_shingles_are_ranked_by_executors(spark, monkeypatch):
+    """The driver gets the most common shingles as Arrow, without a row object for each and without the executors' own rankings."""
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: pytest.fail("rows collected to the driver"))
+    monkeypatch.setattr(simhash, "MOST_COMMON", 5)
+    texts = ["a b c d e f g h"] * 3 + ["b c d e f g h i j"] * 4 + ["a b c d e f g h i j k l"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("content", F.lit(0).cast("bigint"))
+    n = Counter(k for t in texts for k in np.unique(simhash.shingles(t, 5)).view(np.int64).tolist())
+    want = sorted(n, key=lambda k: (-n[k], k))[:5]
+    assert simhash._common(docs, simhash.NEAR_COPIES).view(np.int64).tolist() == want
+    assert len(simhash._common(docs.where("false"), simhash.NEAR_COPIES)) == 0
+
+
 def test_recall_on_documents(spark):
     """All documents whose id is divisible by 20, against all rows."""
     docs = documents(spark, "/root/testdata/sf0.01")
