@@ -2,14 +2,16 @@
 
 A text becomes words: runs of the space mark with what follows up to the next mark. No piece of the
 vocabulary has a mark after another character (checked on loading), so merges never cross words, and
-equal words have equal ids. The distinct words of a block of texts are encoded together: their symbols
+equal words have equal ids. Where no piece has a letter beside another character of ASCII (checked too) words are cut between those,
+as fewer and shorter ones are distinct then. The distinct words of a block of texts are encoded together: their symbols
 lie in one flat array, and each round finds, for every word at once, the least rank among its
 adjacent pairs, merges the leftmost pair of that rank in each word, and compacts the array, until
 no pair is left. Where no later pair could come in between ("safe" pieces: none that a piece of lower
 rank could be made from), all pairs of the rank in a word merge in the same round, leftmost first. So do those
 that stand so far behind the pair before that no piece reaches from what one becomes to what the other does.
 
-The state kept between blocks is a table of words of bounded size; no text is cut.
+The state kept between blocks is a table of words of bounded size, as Arrow arrays, from which the ids and texts of a block are
+taken; words that the fewest blocks had make room for new ones. No text is cut.
 
 Defined results: a null or empty text has the end id alone and decodes to an empty text; repeated
 rows give the same; an empty table gives an empty result.
@@ -19,11 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,34 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose encoding a worker keeps.
 KEPT_WORDS = 200_000
-NONE = np.iinfo(np.int64).max
+#: Parts of words that are merged at once, so that their arrays stay in a core's cache.
+PARTS = 16_384
+NONE = np.iinfo(np.int32).max
+SLOT_BITS = 19
+#: By byte of UTF-8, for bytes.translate: 1 for letters of ASCII, 2 for the first of two bytes from U+00C0 on, 4 for other ASCII, 8 for the first of a mark, else 0.
+KINDS = bytes((1 if chr(b).isalpha() else 4) if b < 0x80 else 2 if 0xC3 <= b < 0xE0 else 8 * (b == MARK.encode()[0]) for b in range(256))
+
+
+def _meet(pair: str) -> bool:
+    """Whether a letter, or what else has two bytes from U+00C0 on, stands beside another character of ASCII."""
+    kinds = {c.isalpha() if c.isascii() else True if 0xC0 <= ord(c) < 0x800 else None for c in pair}
+    return kinds == {True, False}
+
+
+def _slot(keys: np.ndarray, table: int) -> np.ndarray:
+    """Where each key has its slot in a table of 2**SLOT_BITS."""
+    return (keys.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[table % 2] + 2 * table) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    """Of an array of large strings or binaries: where each begins in its data, and where the last ends."""
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def _joined(texts: pa.Array, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of texts as one each, that end before the places `ends`."""
+    at = _offsets(texts)[np.append(0, ends)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), texts.buffers()[2] or pa.py_buffer(b"")])
 
 
 class Pieces:
@@ -68,42 +98,74 @@ class Pieces:
                     pairs.append((left * self.size + right, ranks[i], i))
                     unsafe |= {x for x in (left, right) if ranks[x] >= ranks[i]}
         pairs.sort()
-        self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs))
+        self.keys, self.ranks, self.merged = (np.array(x, t) for x, t in zip(zip(*pairs), (np.int64, np.int32, np.int32)))
+        self.slots, rest = [], np.arange(len(self.keys), dtype=np.int32)  # those whose slot another has are in the next table
+        while len(rest):
+            slots = np.zeros(1 << SLOT_BITS, np.int32)
+            slot = _slot(self.keys[rest], len(self.slots))
+            slots[slot] = rest
+            self.slots.append(slots)
+            rest = rest[slots[slot] != rest]
         self.safe = np.ones(self.size, bool)
         self.safe[list(unsafe)] = False
         self.reach = 2 * max(map(len, plain)) + 2
         self.inside = {t[k : k + 2] for t in plain for k in range(len(t) - 1)}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.letters = not any(map(_meet, self.inside))
+        self.chars = -1 - np.arange(0x110000, dtype=np.int32)
+        for t, i in self.single.items():
+            self.chars[ord(t)] = i
+        self.numbers = pa.array([f"{i} " for i in range(self.size)], pa.large_string())
+        self.stands_for = pa.array([bytes([self.raw_byte[i]]) if i in self.raw else t.encode() for i, t in enumerate(self.shown)], pa.large_binary())
+        none = pa.array([], pa.large_string())
+        # the table: words, how many blocks had each, its number of ids, them in decimal with a space after each, and what they stand for
+        self.known, self.uses, self.sizes, self.known_ids, self.known_texts = none, np.empty(0, np.int64), np.empty(0, np.int64), none, none
+
+    @property
+    def words(self) -> list[str]:
+        return self.known.to_pylist()
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
-        texts, owner = [], []  # parts of words that no piece spans, and whose part each is
-        for w, word in enumerate(words):
-            at = 0
-            if len(word) > 24:
-                for i in range(1, len(word)):
-                    if word[i - 1 : i + 1] not in self.inside:
-                        texts.append(word[at:i])
-                        owner.append(w)
-                        at = i
+        ids, ends = self._ids(words)
+        ids, ends = ids.tolist(), ends.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and where each word's end."""
+        texts, counts, copied = [], np.ones(len(words), np.int64), 0  # parts of words that no piece spans, and how many each word has
+        for w in [w for w, n in enumerate(map(len, words)) if n > 24]:
+            texts += words[copied:w]
+            copied, before, word, at = w + 1, len(texts), words[w], 0
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in self.inside:
+                    texts.append(word[at:i])
+                    at = i
             texts.append(word[at:])
-            owner.append(w)
-        flat = "".join(texts)
-        chars, inverse = np.unique(np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-        known = np.array([self.single.get(chr(c), -1 - int(c)) for c in chars.tolist()], np.int64)
-        symbols = known[inverse] if len(flat) else np.empty(0, np.int64)
-        part = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-        done_symbols, done_parts = [], []
+            counts[w] = len(texts) - before
+        texts += words[copied:]
+        ends = np.cumsum(counts)
+        done = [self._merged(texts[i : i + PARTS]) for i in range(0, len(texts), PARTS)]
+        symbols, counts = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*done)) if done else (np.empty(0, np.int64), ends)
+        if len(symbols) and symbols.min() < 0:
+            symbols, counts = self._as_bytes(symbols, counts)
+        return symbols, np.append(0, np.cumsum(counts))[ends]
+
+    def _merged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all parts one after another, and how many each has; -1 - c for a character c that isn't a piece."""
+        symbols = self.chars[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        part = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
+        whole, place, left = part, np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), bool)
+        done = np.empty(len(symbols), np.int64)  # each symbol at its first character's place, where `left` says so
         rank, into = self._ranked(symbols, part, np.arange(max(0, len(symbols) - 1)))
-        rank, into = np.append(rank, NONE), np.append(into, 0)  # of each symbol with the one after it
+        rank, into = np.append(rank, NONE), np.append(into, np.int32(0))  # of each symbol with the one after it
         while len(symbols):
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             lengths = np.diff(np.append(starts, len(symbols)))
             least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
             busy = least < NONE
             if not busy.all():
-                done_symbols.append(symbols[~busy])
-                done_parts.append(part[~busy])
+                at = place[~busy]
+                done[at], left[at] = symbols[~busy], True
             hit = np.flatnonzero(busy & (rank == least))
             if not len(hit):
                 break
@@ -115,29 +177,37 @@ class Pieces:
             symbols[take] = into[take]
             busy[take + 1] = False
             moved = np.cumsum(busy) - 1
-            symbols, part, rank, into = symbols[busy], part[busy], rank[busy], into[busy]
+            symbols, part, place, rank, into = symbols[busy], part[busy], place[busy], rank[busy], into[busy]
             at = moved[take]
             at = np.concatenate([at, at[at > 0] - 1])
             rank[at], into[at] = NONE, 0
             at = at[at < len(symbols) - 1]
             rank[at], into[at] = self._ranked(symbols, part, at)
-        symbols, part = np.concatenate([np.empty(0, np.int64), *done_symbols]), np.concatenate([np.empty(0, np.int64), *done_parts])
-        order = np.argsort(part, kind="stable")
-        symbols, word = symbols[order].tolist(), np.array(owner, np.int64)[part[order]]
-        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
-        out, at = [], 0
-        for end in ends:
-            ids = symbols[at:end]
-            out.append([i for s in ids for i in ([s] if s >= 0 else [self.bytes[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")])] if ids and min(ids) < 0 else ids)
-            at = end
-        return out
+        return done[left], np.bincount(whole[left], minlength=len(texts))
+
+    def _as_bytes(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that aren't pieces as the pieces of their bytes in UTF-8."""
+        other = np.flatnonzero(symbols < 0)
+        codes = -1 - symbols[other]
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[other] = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        out = np.repeat(symbols, sizes)
+        raw = np.frombuffer("".join(map(chr, codes.tolist())).encode("utf-8", "surrogatepass"), np.uint8)
+        out[out < 0] = np.array([self.bytes.get(b, -1) for b in range(256)], np.int64)[raw]
+        ends = np.cumsum(counts)
+        total = np.append(0, np.cumsum(sizes))[ends]
+        return out, np.diff(total, prepend=0)
 
     def _ranked(self, symbols: np.ndarray, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair that begins at `at`; NONE and any piece where there is no merge."""
         left, right = symbols[at], symbols[at + 1]
-        key = left * self.size + right
-        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        good = (part[at] == part[at + 1]) & (left >= 0) & (right >= 0) & (self.keys[found] == key)
+        key = left.astype(np.int64) * self.size + right
+        found = self.slots[0][_slot(key, 0)]
+        good = (part[at] == part[at + 1]) & (left >= 0) & (right >= 0)
+        for k in range(1, len(self.slots)):
+            miss = np.flatnonzero(good & (self.keys[found] != key))
+            found[miss] = self.slots[k][_slot(key[miss], k)]
+        good &= self.keys[found] == key
         return np.where(good, self.ranks[found], NONE), self.merged[found]
 
     def decode_raw(self, ids: list[int]) -> str:
@@ -153,12 +223,52 @@ class Pieces:
             return "".join(out) + pending.decode("utf-8", "replace")
         return "".join([self.shown[i] for i in ids])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > KEPT_WORDS:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
-        for word, ids in zip(new, self.merge(new), strict=True):
-            self.words[word] = (len(ids), " ".join(map(str, ids)), self.decode_raw(ids))
+    def learn(self, words: Iterable[str] | pa.LargeStringArray) -> np.ndarray:
+        """Has all of distinct words in the table and gives their rows in it. Those that the fewest blocks had, and that aren't among them, make room."""
+        if not isinstance(words, pa.Array):
+            words = pa.array(list(words), pa.large_string())
+        rows = pc.index_in(words, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        seen = rows >= 0
+        new = words.filter(pa.array(~seen))
+        over = len(self.known) + len(new) - KEPT_WORDS
+        if over > 0:
+            kept = np.zeros(len(self.known), bool)
+            kept[rows[seen]] = True
+            old = np.flatnonzero(~kept)
+            if over < len(old):
+                kept[old[np.argpartition(self.uses[old], over)[over:]]] = True
+            rows[seen] = (np.cumsum(kept) - 1)[rows[seen]]
+            self.uses, self.sizes = self.uses[kept], self.sizes[kept]
+            self.known, self.known_ids, self.known_texts = (a.filter(pa.array(kept)) for a in (self.known, self.known_ids, self.known_texts))
+        rows[~seen] = np.arange(len(self.known), len(self.known) + len(new))
+        ids, ends = self._ids(new.to_pylist())
+        numbers, shown = (_joined(a.take(pa.array(ids)), ends) for a in (self.numbers, self.stands_for))
+        self.known, self.known_ids, self.known_texts = (pa.concat_arrays(x) for x in ((self.known, new), (self.known_ids, numbers.cast(pa.large_string())), (self.known_texts, shown.cast(pa.large_string()))))
+        self.uses, self.sizes = np.append(self.uses, np.zeros(len(new), np.int64)), np.append(self.sizes, np.diff(ends, prepend=0))
+        self.uses[rows] += 1
+        return rows
+
+    def parts(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Of a block of texts, parts that no piece spans, and how many there are up to each text's last: words, cut where letters meet other characters if no piece has both."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), " ", MARK)
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        at = _offsets(texts)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        mark = np.zeros(len(data) + 3, bool)  # from 3 on: whether a mark begins there
+        kind = np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
+        mark[3:-2] = (kind[:-2] == 8) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+        begins = mark[3:] & ~mark[:-3]
+        if self.letters:
+            other, starts = kind == 4, kind == 2
+            letter = (kind == 1) | starts
+            last = kind == 1  # whether a letter's last byte is there
+            last[1:] |= starts[:-1]
+            begins[1:] |= other[1:] & last[:-1] | letter[1:] & other[:-1]
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        starts = np.flatnonzero(begins)
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+        return parts.dictionary_encode(), np.searchsorted(starts, at[1:])
 
     def split(self, text: str) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -179,13 +289,18 @@ def load(path: str) -> Pieces:
 
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids in decimal, joined by a space, the end id last."""
-    return _encoded(docs, model_path, id_column, text_column, "ids string, decoded string", lambda ids, text: (ids, text))
+    return _encoded(docs, model_path, id_column, text_column, "ids string, decoded string", lambda *parts: b"".join(parts).decode("utf-8"))
 
 
 def digests(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-    return _encoded(docs, model_path, id_column, text_column, "ids_sha256 string, decoded_sha256 string", lambda ids, text: (sha(ids), sha(text)))
+
+    def sha(first: memoryview, rest: bytes = b"") -> str:
+        digest = hashlib.sha256(first)
+        digest.update(rest)
+        return digest.hexdigest()
+
+    return _encoded(docs, model_path, id_column, text_column, "ids_sha256 string, decoded_sha256 string", sha)
 
 
 def _encoded(docs: DataFrame, model_path: str, id_column: str, text_column: str, columns: str, give) -> DataFrame:
@@ -194,15 +309,20 @@ def _encoded(docs: DataFrame, model_path: str, id_column: str, text_column: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
+        last = str(model.end).encode()
         for batch in blocks(batches):
-            texts = [model.split(t or "") for t in batch.column("text").to_pylist()]
-            model.learn({w for words in texts for w in words})
-            rows = []
-            for words in texts:
-                got = [model.words[w] for w in words]
-                decoded = "".join([g[2] for g in got])
-                rows.append((sum(g[0] for g in got) + 1, *give(" ".join([*(g[1] for g in got), str(model.end)]), decoded[1:] if decoded.startswith(" ") else decoded)))
-            counts, *rest = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(r, pa.string()) for r in rest)], ["doc_id", "n_tokens", *names])
+            parts, ends = model.parts(batch.column("text"))
+            rows = model.learn(parts.dictionary)[parts.indices.to_numpy()]
+            counts = np.append(0, np.cumsum(model.sizes[rows]))[ends]
+            ids, decoded = (_joined(a.take(pa.array(rows)), ends) for a in (model.known_ids, model.known_texts))
+            out = []
+            for column in (ids, decoded):
+                at, data = _offsets(column).tolist(), memoryview(column.buffers()[2])
+                if column is ids:
+                    out.append([give(data[a:b], last) for a, b in zip(at, at[1:])])
+                else:  # without the space of the mark before each text
+                    out.append([give(data[a + (data[a:b][:1] == b" ") : b]) for a, b in zip(at, at[1:])])
+            counts = np.diff(counts, prepend=0) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(o, pa.string()) for o in out)], ["doc_id", "n_tokens", *names])
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {columns}")

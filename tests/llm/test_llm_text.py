@@ -8,6 +8,7 @@ import zlib
 import messy
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -79,6 +80,32 @@ def test_word_table_is_bounded(monkeypatch):
         assert len(model.words) <= 50 and words <= set(model.words)
 
 
+def test_word_table_keeps_what_is_common(monkeypatch):
+    model = pieces.Pieces(P.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 50)
+    common = {f"▁common{i}" for i in range(10)}
+    for k in range(5):
+        model.learn(common | {f"▁w{k}x{i}" for i in range(30)})
+    model.learn({f"▁rare{i}" for i in range(40)})  # no room for the rest
+    assert common <= set(model.words) and len(model.words) == 50
+
+
+def test_parts_of_a_block(monkeypatch, spark, library_model):
+    monkeypatch.setattr(pieces, "PARTS", 7)
+    model, r = pieces.Pieces(P.path("piece_bpe_32k.model")), random.Random(3)
+    some = list("aeinst.,\n\t09éß日▁ ") + ["  ", "ing", "▁▁", "$$$", "tion", "𝔘", "\x00", "x" * 30]
+    texts = [None, "", " ", "▁", "\n", *("".join(r.choice(some) for _ in range(r.randrange(60))) for _ in range(300)), None]
+    parts, ends = model.parts(pa.array(texts))
+    flat, begins = parts.to_pylist(), [0, *ends.tolist()]
+    assert model.letters and not any(re.search(r"[a-zéß][.,\n\t0-9]|[.,\n\t0-9][a-zéß]|[^▁]▁", p) for p in flat)
+    assert [flat[a:b] == [] if not t else "".join(flat[a:b]) == "▁" + t.replace(" ", "▁") for t, a, b in zip(texts, begins, begins[1:])] == [True] * len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {d.doc_id: d for d in pieces.encode(docs, P.path("piece_bpe_32k.model")).collect()}
+    for i, text in enumerate(texts):
+        ids = library_model.encode(text or "") + [2]
+        assert (rows[i].n_tokens, rows[i].ids, rows[i].decoded) == (len(ids), " ".join(map(str, ids)), library_model.decode(ids))
+
+
 # secrets
 
 
