@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,3 +99,55 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def offsets(texts: pa.Array) -> np.ndarray:
+    """Of an array of large strings or binaries: where each begins in its data, and where the last ends."""
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def joined(texts: pa.Array, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of texts as one each, that end before the places `ends`."""
+    at = offsets(texts)[np.append(0, ends)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), texts.buffers()[2] or pa.py_buffer(b"")])
+
+
+def cut(texts: pa.LargeStringArray, begins: Callable[[np.ndarray], np.ndarray]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The parts of texts without nulls, and how many there are up to each text's last. begins: for all bytes one after another, at which of them a part begins; each text begins one."""
+    at = offsets(texts)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    first = begins(data)
+    first[at[:-1][at[1:] > at[:-1]]] = True
+    starts = np.flatnonzero(first)
+    parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+    return parts.dictionary_encode(), np.searchsorted(starts, at[1:])
+
+
+class WordTable:
+    """Distinct words and what belongs to each, in Arrow arrays; of bounded size, as words that the fewest blocks had make room for new ones."""
+
+    def __init__(self, *types: pa.DataType) -> None:
+        self.words, self.uses = pa.array([], pa.large_string()), np.empty(0, np.int64)
+        self.columns = [pa.array([], t) for t in types]
+
+    def rows(self, words: pa.LargeStringArray, values: Callable[[list[str]], tuple], most: int) -> np.ndarray:
+        """The rows of distinct words, which all get one though they be more than `most`. values: the columns of new words."""
+        rows = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
+        seen = rows >= 0
+        new = words.filter(pa.array(~seen))
+        over = len(self.words) + len(new) - most
+        if over > 0:
+            kept = np.zeros(len(self.words), bool)
+            kept[rows[seen]] = True
+            old = np.flatnonzero(~kept)
+            if over < len(old):
+                kept[old[np.argpartition(self.uses[old], over)[over:]]] = True
+            rows[seen] = (np.cumsum(kept) - 1)[rows[seen]]
+            self.words, self.uses = self.words.filter(pa.array(kept)), self.uses[kept]
+            self.columns = [a.filter(pa.array(kept)) for a in self.columns]
+        rows[~seen] = np.arange(len(self.words), len(self.words) + len(new))
+        self.columns = [pa.concat_arrays([a, b.cast(a.type)]) for a, b in zip(self.columns, values(new.to_pylist()), strict=True)]
+        self.words, self.uses = pa.concat_arrays([self.words, new]), np.append(self.uses, np.zeros(len(new), np.int64))
+        self.uses[rows] += 1
+        return rows

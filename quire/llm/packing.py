@@ -9,7 +9,7 @@ whole go in; the best that doesn't fit is cut to fill the window, and its rest i
 is left the next unused document in order comes in. A window that is open at the end of a shard goes on in the next, and what
 is open at the end of a partition is cut into sequences of powers of two, which need no padding.
 
-Texts are tokenised once, into a table; ids and keys are what is shuffled, by ranges of (key, place), so that documents of one key, however
+Texts are tokenised once, into a table, and equal parts of a block's texts once for all, cut where the pattern always ends a match; ids and keys are what is shuffled, by ranges of (key, place), so that documents of one key, however
 many, are split. Sequence ids hold the partition and a count within it; a partition that is computed again gives the same.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows are packed each; ids may be
@@ -22,14 +22,16 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import blocks, checkpointed
+from quire.llm.common import WordTable, blocks, checkpointed, cut, joined, offsets
 
 WINDOW = 1024
 SHARD_DOCUMENTS, SHARD_TOKENS = 512, 1_000_000
@@ -39,6 +41,29 @@ VOCABULARY, KEYS = 1 << 16, 3
 TASK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
+#: Parts of texts whose ids a worker keeps.
+KEPT_PARTS = 200_000
+#: By byte of UTF-8, for bytes.translate: 1 letters, 2 the first of two bytes of U+00C0 to U+023F, 4 white space, 8 digits, 16 an apostrophe, 32 all else that is printed, of ASCII; else 0.
+KINDS = bytes(
+    (1 if chr(b).isalpha() else 4 if 9 <= b <= 13 or b == 32 else 8 if chr(b).isdigit() else 16 if b == 39 else 32 if 32 < b < 127 else 0) if b < 0x80 else 2 * (0xC3 <= b < 0xC9) for b in range(256)
+)
+#: The pattern that KINDS and part_begins() are for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def part_begins(data: np.ndarray) -> np.ndarray:
+    """Where bytes of texts can be cut so that parts have the ids they have in the text: PATTERN always ends a match there, as it has nothing
+    but a space before other characters, and none of its matches looks on, as no white space stands before a cut. A part begins with white space
+    after another character, and where a letter meets another printed character, unless that is an apostrophe before it."""
+    kind = np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
+    letter = kind == 1
+    last = letter.copy()  # whether a letter's last byte is there
+    two = (kind[:-1] == 2) & (data[1:] & 0xDF != 0x97)  # but the signs of multiplication and division
+    letter[:-1] |= two
+    last[1:] |= two
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (kind[1:] == 4) & (last[:-1] | (kind[:-1] >= 8)) | (kind[1:] >= 16) & last[:-1] | letter[1:] & (kind[:-1] == 32)
+    return begins
 
 
 class Tokenizer:
@@ -51,11 +76,33 @@ class Tokenizer:
         self.whole = FromFile.from_file(json_path)
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.cuts = part_begins if pattern == PATTERN else lambda data: np.zeros(len(data), bool)
+        self.table = WordTable(pa.large_binary())  # of parts of texts: ids as 16-bit integers
 
     def encode(self, text: str) -> np.ndarray:
         ids = self.whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.fast.encode_ordinary(text)
         return np.array([*ids, END], np.uint16)
 
+    def encode_block(self, texts: pa.Array) -> list[np.ndarray]:
+        """As encode() each; a null is empty. Equal parts of texts are encoded once, and kept in a table."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        special = pc.match_substring(texts, SPECIAL)
+        parts, ends = cut(pc.if_else(special, "", texts), self.cuts)
+        rows = self.table.rows(parts.dictionary, self._values, KEPT_PARTS)[parts.indices.to_numpy()]
+        ids = joined(self.table.columns[0].take(pa.array(rows)), ends)
+        at = (offsets(ids) // 2).tolist()
+        flat = np.frombuffer(ids.buffers()[2], np.uint16)
+        out = [np.append(flat[a:b], np.uint16(END)) for a, b in zip(at, at[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        return out
+
+    def _values(self, parts: list[str]) -> tuple[pa.Array]:
+        ids = list(map(self.fast.encode_ordinary, parts))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint16, ends[-1] if len(ends) else 0)
+        return (pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.append(0, 2 * ends)), pa.py_buffer(flat)]),)
+
 
 @lru_cache(2)
 def load(json_path: str, ranks_path: str, pattern: str) -> Tokenizer:
@@ -196,10 +243,9 @@ def tokenised(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) ->
         begin = (c.partitionId() if (c := TaskContext.get()) else 0) << 36
         names = ["doc_id", "ids", "n", "key", "place", "counts"]
         for batch in blocks(batches):
-            doc_type, ids, keys = batch.column("doc_id").type, [], []
-            for text in batch.column("text").to_pylist():
-                ids.append(tokenizer.encode(text or ""))
-                seen = np.unique(ids[-1])
+            doc_type, ids, keys = batch.column("doc_id").type, tokenizer.encode_block(batch.column("text")), []
+            for each in ids:
+                seen = np.unique(each)
                 counts[seen] += 1
                 keys.append(shard_key(seen))
             n = len(ids)

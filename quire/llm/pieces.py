@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import blocks
+from quire.llm.common import WordTable, blocks, cut, joined, offsets
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,17 +55,6 @@ def _slot(keys: np.ndarray, table: int) -> np.ndarray:
     return (keys.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[table % 2] + 2 * table) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _offsets(texts: pa.Array) -> np.ndarray:
-    """Of an array of large strings or binaries: where each begins in its data, and where the last ends."""
-    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-
-
-def _joined(texts: pa.Array, ends: np.ndarray) -> pa.LargeBinaryArray:
-    """Runs of texts as one each, that end before the places `ends`."""
-    at = _offsets(texts)[np.append(0, ends)]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), texts.buffers()[2] or pa.py_buffer(b"")])
-
-
 class Pieces:
     """Encodes as the model at `path` does, if that is BPE without normalisation and with a mark put before each text."""
 
@@ -116,13 +105,12 @@ class Pieces:
             self.chars[ord(t)] = i
         self.numbers = pa.array([f"{i} " for i in range(self.size)], pa.large_string())
         self.stands_for = pa.array([bytes([self.raw_byte[i]]) if i in self.raw else t.encode() for i, t in enumerate(self.shown)], pa.large_binary())
-        none = pa.array([], pa.large_string())
-        # the table: words, how many blocks had each, its number of ids, them in decimal with a space after each, and what they stand for
-        self.known, self.uses, self.sizes, self.known_ids, self.known_texts = none, np.empty(0, np.int64), np.empty(0, np.int64), none, none
+        #: Of words: the number of ids, them in decimal with a space after each, and what they stand for.
+        self.table = WordTable(pa.int64(), pa.large_string(), pa.large_string())
 
     @property
     def words(self) -> list[str]:
-        return self.known.to_pylist()
+        return self.table.words.to_pylist()
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
@@ -224,37 +212,20 @@ class Pieces:
         return "".join([self.shown[i] for i in ids])
 
     def learn(self, words: Iterable[str] | pa.LargeStringArray) -> np.ndarray:
-        """Has all of distinct words in the table and gives their rows in it. Those that the fewest blocks had, and that aren't among them, make room."""
-        if not isinstance(words, pa.Array):
-            words = pa.array(list(words), pa.large_string())
-        rows = pc.index_in(words, self.known).fill_null(-1).to_numpy().astype(np.int64)
-        seen = rows >= 0
-        new = words.filter(pa.array(~seen))
-        over = len(self.known) + len(new) - KEPT_WORDS
-        if over > 0:
-            kept = np.zeros(len(self.known), bool)
-            kept[rows[seen]] = True
-            old = np.flatnonzero(~kept)
-            if over < len(old):
-                kept[old[np.argpartition(self.uses[old], over)[over:]]] = True
-            rows[seen] = (np.cumsum(kept) - 1)[rows[seen]]
-            self.uses, self.sizes = self.uses[kept], self.sizes[kept]
-            self.known, self.known_ids, self.known_texts = (a.filter(pa.array(kept)) for a in (self.known, self.known_ids, self.known_texts))
-        rows[~seen] = np.arange(len(self.known), len(self.known) + len(new))
-        ids, ends = self._ids(new.to_pylist())
-        numbers, shown = (_joined(a.take(pa.array(ids)), ends) for a in (self.numbers, self.stands_for))
-        self.known, self.known_ids, self.known_texts = (pa.concat_arrays(x) for x in ((self.known, new), (self.known_ids, numbers.cast(pa.large_string())), (self.known_texts, shown.cast(pa.large_string()))))
-        self.uses, self.sizes = np.append(self.uses, np.zeros(len(new), np.int64)), np.append(self.sizes, np.diff(ends, prepend=0))
-        self.uses[rows] += 1
-        return rows
+        """Has all of distinct words in the table and gives their rows in it."""
+        return self.table.rows(words if isinstance(words, pa.Array) else pa.array(list(words), pa.large_string()), self._values, KEPT_WORDS)
+
+    def _values(self, words: list[str]) -> tuple[pa.Array, ...]:
+        ids, ends = self._ids(words)
+        return pa.array(np.diff(ends, prepend=0)), *(joined(a.take(pa.array(ids)), ends) for a in (self.numbers, self.stands_for))
 
     def parts(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Of a block of texts, parts that no piece spans, and how many there are up to each text's last: words, cut where letters meet other characters if no piece has both."""
         texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), " ", MARK)
         texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts, pa.scalar("", pa.large_string())))
-        at = _offsets(texts)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-        at = at - at[0]
+        return cut(texts, self._begins)
+
+    def _begins(self, data: np.ndarray) -> np.ndarray:
         mark = np.zeros(len(data) + 3, bool)  # from 3 on: whether a mark begins there
         kind = np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
         mark[3:-2] = (kind[:-2] == 8) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
@@ -265,10 +236,7 @@ class Pieces:
             last = kind == 1  # whether a letter's last byte is there
             last[1:] |= starts[:-1]
             begins[1:] |= other[1:] & last[:-1] | letter[1:] & other[:-1]
-        begins[at[:-1][at[1:] > at[:-1]]] = True
-        starts = np.flatnonzero(begins)
-        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
-        return parts.dictionary_encode(), np.searchsorted(starts, at[1:])
+        return begins
 
     def split(self, text: str) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -313,11 +281,12 @@ def _encoded(docs: DataFrame, model_path: str, id_column: str, text_column: str,
         for batch in blocks(batches):
             parts, ends = model.parts(batch.column("text"))
             rows = model.learn(parts.dictionary)[parts.indices.to_numpy()]
-            counts = np.append(0, np.cumsum(model.sizes[rows]))[ends]
-            ids, decoded = (_joined(a.take(pa.array(rows)), ends) for a in (model.known_ids, model.known_texts))
+            sizes, *texts = (a.take(pa.array(rows)) for a in model.table.columns)
+            counts = np.append(0, np.cumsum(sizes.to_numpy()))[ends]
+            ids, decoded = (joined(a, ends) for a in texts)
             out = []
             for column in (ids, decoded):
-                at, data = _offsets(column).tolist(), memoryview(column.buffers()[2])
+                at, data = offsets(column).tolist(), memoryview(column.buffers()[2])
                 if column is ids:
                     out.append([give(data[a:b], last) for a, b in zip(at, at[1:])])
                 else:  # without the space of the mark before each text

@@ -509,6 +509,32 @@ def test_packing_query(spark, texts, file_tokenizer):
     check_packed(entry.queries()["op2_packing"](spark, SF).collect(), dict(texts), file_tokenizer)
 
 
+def test_parts_have_the_ids_they_have_in_a_text(file_tokenizer, monkeypatch):
+    assert packing.PATTERN == P.PATTERN
+    monkeypatch.setattr(packing, "KEPT_PARTS", 20)  # parts come and go
+    tokenizer = packing.Tokenizer(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    some = [*"aeE'’.,$-_0²½éß×÷ėȿɐ́日ª\x85\xa0\u2003\x1f\x00\x7f𝔘", " ", " ", "  ", "\n", "\n\n", "\t ", "\r\n", "'s", "'re", "'ll", "the", " of", "<|endoftext|>"]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(some), max_size=40).map("".join), st.text(max_size=20)), max_size=6))
+    def check(texts):
+        got = tokenizer.encode_block(pa.array(texts, pa.string()))
+        assert [g.tolist() for g in got] == [[*file_tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+        assert all(g.dtype == np.uint16 for g in got)
+
+    check()
+    assert [g.tolist() for g in tokenizer.encode_block(pa.array(["the of"]).slice(1))] == []
+
+
+def test_equal_parts_are_tokenised_once(monkeypatch):
+    tokenizer, seen = packing.Tokenizer(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), []
+    encode = tokenizer.fast.encode_ordinary
+    monkeypatch.setattr(tokenizer.fast, "encode_ordinary", lambda part: seen.append(part) or encode(part))
+    for _ in range(2):
+        tokenizer.encode_block(pa.array(["one two, two. one", None, "one two's (two)\nthree", "one two"]))
+    assert sorted(seen) == sorted(["one", " two", ",", ".", " one", "'s", " (", "two", ")", "\nthree"])
+
+
 def test_packing_in_more_ranges(spark, monkeypatch, texts, file_tokenizer):
     monkeypatch.setattr(packing, "TASK_BYTES", 20_000)
     check_packed(entry.queries()["op2_packing"](spark, SF).collect(), dict(texts), file_tokenizer)
